@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, packing, simhash, warc
-from .common import table
+from . import ann, decontam, langid, packing, pii, simhash, toxicity, warc
+from .common import crc_mod, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,22 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_warc, op5_decontamination, op6_ann)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs))
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_warc, op5_decontamination, op6_ann, op7_toxicity, op8_pii, op10_language)}
 
 ORACLE_SQL: dict[str, str] = {}
