@@ -78,10 +78,11 @@ def price(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarra
     return best, item
 
 
-def column_generation(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+def column_generation(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float = 0.01, rounds: int = 2000, columns: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows, by length) that fill size exactly and how often each is used: max sum(x), patterns^T x <= counts.
 
-    A revised simplex over the patterns found so far; stops when the dual bound is within gap of the value reached.
+    A revised simplex over the patterns found so far. It stops when the dual bound is within gap of the value reached, or after
+    so many rounds of pricing; any point on the way is a valid packing, so this bounds its work and not what is packed.
     """
     m = len(lengths)
     inverse, value = np.eye(m), counts.astype(float)
@@ -107,34 +108,51 @@ def column_generation(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE,
         basis[r], cost[r] = pattern, gain
         return True
 
-    for _ in range(20 * m + 100):
+    for i in range(int(np.searchsorted(lengths, size / 2, "right"))):  # start with pairs that fill a sequence
+        j = int(np.searchsorted(lengths, size - lengths[i]))
+        if j < m and lengths[i] + lengths[j] == size:
+            pattern = np.zeros(m)
+            pattern[i] += 1
+            pattern[j] += 1
+            enter(pattern, 1.0, pattern)
+    # lengths / size price every exact pattern at 1, so they are feasible duals; prices are drawn towards the best such point
+    center, bound = lengths / size, float(lengths @ counts) / size
+    for _ in range(rounds):
         dual = cost @ inverse
-        if (low := int(dual.argmin())) >= 0 and dual[low] < -1e-7:
+        while (low := int(dual.argmin())) >= 0 and dual[low] < -1e-7:
             unit = np.zeros(m)
             unit[low] = 1
             if not enter(unit, 0.0, None):
                 break
-            continue
+            dual = cost @ inverse
         dual = np.maximum(dual, 0)
-        best, item = price(dual, lengths, size)
-        if not best[size] < 1 - 1e-7 or (best[size] > 0 and dual @ counts / best[size] <= (1 + gap) * cost @ value):
-            break
-        # the best pattern that holds each length, cheapest first
-        first = dual + best[size - lengths]
-        entered = 0
-        for i in np.argsort(first, kind="stable")[:24]:
-            if not first[i] < 1 - 1e-7:
+        smooth = 0.7
+        while True:
+            point = smooth * center + (1 - smooth) * dual
+            best, item = price(point, lengths, size)
+            if best[size] > 0 and point @ counts / best[size] < bound:
+                center, bound = point / best[size], float(point @ counts / best[size])
+            if bound <= (1 + gap) * (cost @ value):
                 break
-            pattern = np.zeros(m)
-            pattern[i] += 1
-            c = size - int(lengths[i])
-            while c:
-                pattern[item[c]] += 1
-                c -= int(lengths[item[c]])
-            if entered and not (cost @ inverse) @ pattern < 1 - 1e-6:
-                continue
-            entered += enter(pattern, 1.0, pattern)
-        if not entered:
+            # the best pattern that holds each length, cheapest first
+            first = point + best[size - lengths]
+            entered, duals = 0, dual
+            for i in np.argsort(first, kind="stable")[:columns]:
+                if not np.isfinite(first[i]):
+                    break
+                pattern = np.zeros(m)
+                pattern[i] += 1
+                c = size - int(lengths[i])
+                while c:
+                    pattern[item[c]] += 1
+                    c -= int(lengths[item[c]])
+                if duals @ pattern < 1 - 1e-6 and enter(pattern, 1.0, pattern):
+                    entered += 1
+                    duals = cost @ inverse
+            if entered or smooth == 0:
+                break
+            smooth = 0.0 if smooth < 0.2 else smooth / 2
+        if not entered or bound <= (1 + gap) * (cost @ value):
             break
     kept = [(p, v) for p, v in zip(basis, value, strict=True) if p is not None and v > tiny]
     if not kept:
