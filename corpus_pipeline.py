@@ -1,29 +1,49 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
+
+Toxic documents go, one document of each group of near duplicates stays, documents that hold benchmark passages go, personal data
+is replaced by marks, and what is left is packed. All stages but the last return the columns of documents. Null texts, repeated
+rows, empty tables and further columns have the results that the operators state.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from narratix.llm import decontam, packing, simhash
+from narratix.llm import decontam, packing, pii, simhash, toxicity
 from narratix.llm.common import materialize, table
 
 #: SQL cannot express the classifier, hashes and tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of documents outside the held-out fold."""
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked fingerprints the document with the smallest id stays."""
     return simhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by the benchmark go."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by marks; no document goes, n_chars follows the text."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes."""
     return packing.pack(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", sequences)]
+STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
