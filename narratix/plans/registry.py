@@ -1,6 +1,209 @@
-"""All queries by name, and the SQL that each must agree with."""
+"""All queries of the library by name, and the SQL that each must agree with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import classify, markers
+from ..functions import patterns as P
+from ..functions import text as T
+from ..operators import chapters, checks, chunks, layout, narration
+from ..streaming import status
+from . import oracle
+
+#: Lines that hold what the documents lack: markers, classes and labels to tell apart.
+LITERALS = ["2", "1982", "1988 2008", "1.1 1988 2008", "( 1968 )", "1 9 8 2", "", "He had 3 apples.", "In 1968, he left.", "Fig. 1.1 Photograph of X", "Table of Contents", "Copyright 2020, ISBN 1", "Preface and Acknowledgements", "42", "https://a.b", "doi 10.1234/x", "© 2020 X", "Chapter 3: A Title", "Foreword", "12.5, 7", "By Jane Doe"]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def with_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents, and the literal lines under negative ids."""
+    extra = spark.createDataFrame([(-1 - k, 1, x) for k, x in enumerate(LITERALS)], "doc_id long, line_no int, line string")
+    return narration.lines(documents(spark, sf_dir)).unionByName(extra)
+
+
+def first_line(c: Column) -> Column:
+    return F.get(F.split(c, "\n"), F.lit(0))
+
+
+def str_clean_text(spark, d):
+    return documents(spark, d).select("doc_id", T.clean_text(F.col("text")).alias("text_clean"))
+
+
+def str_norm_key(spark, d):
+    return documents(spark, d).select("doc_id", T.norm_key(first_line(F.col("text"))).alias("norm_key"))
+
+
+def str_sentence_split(spark, d):
+    return documents(spark, d).select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
+
+
+def str_word_counts(spark, d):
+    t = F.col("text")
+    return documents(spark, d).select("doc_id", T.word_count(t).alias("n_words"), T.token_count(t).alias("n_tokens"), T.count(t, P.MEANINGFUL).alias("n_meaningful"), T.count(t, P.LETTER).alias("n_letters"))
+
+
+def str_preview(spark, d):
+    return documents(spark, d).select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+def flt_markers(spark, d):
+    x = F.col("line")
+    flags = {"layout": markers.layout(x), "speech": markers.speech(x), "cleaner": markers.cleaner(x), "narration": markers.narration(x), "strict": markers.narration(x, strict=True)}
+    return with_literals(spark, d).select("doc_id", "line_no", *(c.alias(n) for n, c in flags.items()))
+
+
+def flt_heading_unit(spark, d):
+    return with_literals(spark, d).select("doc_id", "line_no", F.when(T.heading_unit(F.col("line")), "heading").otherwise("body").alias("kind"))
+
+
+def prj_classify_text(spark, d):
+    return with_literals(spark, d).groupBy(classify.text_class(F.col("line")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def prj_front_matter(spark, d):
+    return with_literals(spark, d).select("doc_id", "line_no", classify.front_matter(F.col("line")).alias("labels"))
+
+
+def prj_identity_score(spark, d):
+    rows = with_literals(spark, d).where("line_no <= 4")
+    title, subtitle, author = classify.identity_scores(T.compact(F.col("line")), F.lit(1))
+    return rows.select("doc_id", "line_no", title.alias("title"), subtitle.alias("subtitle"), author.alias("author"))
+
+
+def nar_render(spark, d):
+    return narration.render(documents(spark, d))
+
+
+def chk_chunks(spark, d):
+    return chunks.chunks(documents(spark, d), narration.blocks(F.col("text"))).drop("text")
+
+
+def chk_manifest(spark, d):
+    return chunks.manifest(chk_chunks(spark, d))
+
+
+def _toc(spark, d):
+    rows = read(spark, d, "conversations")
+    toc = rows.where("role = 'user'").select(F.col("conv_id").alias("book"), F.col("turn").alias("idx"), F.lit(1).alias("level"), (F.col("turn") + 1).alias("page"), F.lit("t").alias("title"))
+    totals = rows.groupBy(F.col("conv_id").alias("book")).agg((F.max("turn") + 1).alias("total_pages"))
+    return chapters.ranges(toc, totals)
+
+
+def win_chapter_ranges(spark, d):
+    return _toc(spark, d).select("book", "chapter", "start_page", "end_page")
+
+
+def jn_page_chapter(spark, d):
+    pages = read(spark, d, "conversations").select(F.col("conv_id").alias("book"), (F.col("turn") + 1).alias("page"), T.token_count(F.col("text")).alias("words"))
+    return chapters.words(pages, _toc(spark, d)).select("book", "chapter", "word_count")
+
+
+def agg_skip_hist(spark, d):
+    x = F.col("line")
+    rows = with_literals(spark, d).select(F.when(F.col("doc_id") < 0, "literal").otherwise("document").alias("origin"), narration.skip_reason(x, classify.text_class(x), strict=True).alias("reason"))
+    return narration.skip_histogram(rows, "origin")
+
+
+def agg_type_counts(spark, d):
+    rows = with_literals(spark, d).select(classify.text_class(F.col("line")).alias("type"))
+    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(classify.narrated(F.col("type"))).alias("narrated"))
+
+
+def win_dedupe_best(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", "n_chars", T.norm_key(first_line(F.col("text"))).alias("key"))
+    best = rows.groupBy("key").agg(F.max_by(F.struct("doc_id", "n_chars"), F.struct("n_chars", -F.col("doc_id"))).alias("x"))
+    return best.select("key", "x.doc_id", "x.n_chars")
+
+
+def jn_fallback(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce(F.concat(F.lit("quality "), F.col("quality").cast("string")), "source").alias("value"))
+
+
+def jn_resume_anti(spark, d):
+    return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+def jn_heading_suffix(spark, d):
+    rows = narration.lines(documents(spark, d)).where(T.heading_unit(F.col("line"))).select("doc_id", F.col("line_no").alias("idx"), F.col("line").alias("text"))
+    ends = rows.select("doc_id", F.col("idx") + 1000000, F.regexp_replace("text", r"\A[^ ]+ ", "")).toDF("doc_id", "idx", "text")
+    return layout.heading_fragments(rows.unionByName(ends), ["doc_id"])
+
+
+def chk_regression(spark, d):
+    """Each benchmark passage must occur in the document of its number: found by a join on the passage's first words."""
+    words = lambda c: F.split(T.compact(c), " ")
+    cases = read(spark, d, "benchmark").select("item_id", T.compact(F.col("text")).alias("phrase"))
+    # a passage is in a text only where its second to seventh words are, so they pick the documents to look into
+    cases = cases.withColumn("probe", F.array_join(F.slice(words(F.col("phrase")), 2, 6), " "))
+    docs = documents(spark, d).select(T.compact(F.col("text")).alias("all"))
+    grams = docs.select("all", words(F.col("all")).alias("w")).select("all", F.explode(F.when(F.size("w") >= 7, F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, F.lit(6)), " ")))).alias("probe"))
+    hits = cases.join(grams, "probe").where(F.col("all").contains(F.col("phrase"))).groupBy("item_id").agg(F.lit(True).alias("found"))
+    rows = cases.join(hits, "item_id", "left")
+    return rows.select("item_id", checks.status(F.coalesce("found", F.lit(False)), F.when(F.col("item_id") % 5 == 0, "known_fail")).alias("status"))
+
+
+def sum_clean(spark, d):
+    extra = spark.createDataFrame([(-1 - k, x) for k, x in enumerate(oracle.MARKDOWN)], "doc_id long, text string")
+    return documents(spark, d).unionByName(extra).select("doc_id", T.clean_for_speech(F.col("text")).alias("text"))
+
+
+def sum_validate(spark, d):
+    rows = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    extra = spark.createDataFrame([(-1 - k, 0, x) for k, x in enumerate(oracle.SUMMARIES)], "conv_id long, turn long, text string")
+    return rows.unionByName(extra).select("conv_id", "turn", F.size(checks.validation_errors(F.col("text"))).alias("n_errors"))
+
+
+def win_progress(spark, d):
+    return status.progress(read(spark, d, "events").select("event_id", "user_id", "ts")).select("event_id", "current", "total", "percent")
+
+
+def status_latest(spark, d):
+    return status.latest(read(spark, d, "events")).select("user_id", "status", F.date_format("last_update", "yyyy-MM-dd HH:mm:ss").alias("last_update"))
+
+
+def srt_topk(spark, d):
+    rows = narration.lines(documents(spark, d)).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    return rows.orderBy(F.desc("n"), "line").limit(20)
+
+
+def jn_similar(spark, d):
+    rows = narration.lines(documents(spark, d)).where(T.heading_unit(F.col("line"))).select("doc_id", F.col("line_no").alias("idx"), F.col("line").alias("text"))
+    return layout.similar_pairs(rows, ["doc_id"], 0.6).select("doc_id", "a_idx", "b_idx", "similarity")
+
+
+def win_line_cluster(spark, d):
+    """Words on pages made of embeddings: the first components give places."""
+    e = F.col("embedding")
+    words = read(spark, d, "embeddings").select(
+        (F.col("vec_id") / 500).cast("int").alias("doc_id"), F.col("label").alias("page"), F.col("vec_id").alias("ord"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("text"),
+        (e[0] * 500 + 300).cast("double").alias("x0"), (e[1] * 700 + 400).cast("double").alias("y0"), (e[0] * 500 + 330).cast("double").alias("x1"), (e[1] * 700 + 412).cast("double").alias("y1"),
+    )
+    return layout.lines(layout.cluster_lines(words)).select("doc_id", "page", "line", "text")
+
+
+def win_paragraphs(spark, d):
+    """Lines of each document as a page with a step of 14 points, then paragraphs."""
+    rows = narration.lines(documents(spark, d)).where("line_no <= 60")
+    rows = rows.select("doc_id", F.lit(1).alias("page"), F.col("line_no").alias("line"), F.left("line", F.lit(200)).alias("text"), F.lit(72.0).alias("x0"), (F.col("line_no") * 10.0).alias("y0"), F.lit(500.0).alias("x1"), (F.col("line_no") * 10.0 + 9).alias("y1"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    return layout.merged(layout.paragraphs(rows)).select("doc_id", "paragraph", F.length("text").alias("n_chars"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        str_clean_text, str_norm_key, str_sentence_split, str_word_counts, str_preview, flt_markers, flt_heading_unit, prj_classify_text, prj_front_matter, prj_identity_score, nar_render, chk_chunks, chk_manifest,
+        win_chapter_ranges, jn_page_chapter, agg_skip_hist, agg_type_counts, win_dedupe_best, jn_fallback, jn_resume_anti, jn_heading_suffix, chk_regression, sum_clean, sum_validate, win_progress, status_latest, srt_topk, jn_similar, win_line_cluster, win_paragraphs,
+    )
+}
+
+ORACLE_SQL = oracle.sql(LITERALS)
