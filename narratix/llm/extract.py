@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, span_hashes, text_chunks, word_spans
+from .common import SPACED, materialize, span_hashes, text_chunks, word_spans
 
 RUN, LOOSE, STRICT, COVER = 8, 0.1, 0.5, 0.8
+#: The most hosts whose names and sizes (about 50 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST = 50_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title|select|object|canvas|video|audio|math)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -168,11 +170,13 @@ def _unique_runs(t: pa.Table) -> pa.Table:
     return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": text})
 
 
-def extract(pages: DataFrame, shard_bytes: int = 1_000_000) -> DataFrame:
+def extract(pages: DataFrame, shard_bytes: int = 400_000) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"))
     sizes = rows.groupBy(F.col("host").alias("_host")).agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("size"))
-    shards = sizes.select("_host", F.ceil((F.col("size") + 1) / F.lit(shard_bytes)).alias("n"))
+    shards = materialize(sizes.select("_host", F.ceil((F.col("size") + 1) / F.lit(shard_bytes)).alias("n")), "hosts")
+    if shards.count() <= BROADCAST:
+        shards = F.broadcast(shards)
     dealt = rows.join(shards, F.col("host") == F.col("_host")).withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("n")))
     kind = pages.schema["page_id"].dataType.simpleString()
     parsed = dealt.select("page_id", "url", "html", "host", "shard").mapInArrow(_parse, f"page_id {kind}, url string, host string, shard long, blocks string, scoped boolean")
