@@ -78,7 +78,7 @@ def price(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarra
     return best, item
 
 
-def column_generation(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float = 0.01, rounds: int = 2000, columns: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def column_generation(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float = 0.01, rounds: int = 150, columns: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows, by length) that fill size exactly and how often each is used: max sum(x), patterns^T x <= counts.
 
     A revised simplex over the patterns found so far. It stops when the dual bound is within gap of the value reached, or after
