@@ -17,7 +17,7 @@ def candidates(lines: DataFrame) -> DataFrame:
     own = T.compact(T.sub(F.col("text"), P.BY))
     fields = [("title", F.col("text"), 55, 98), ("subtitle", F.col("text"), 50, 95), ("author", own, 62, 98)]
     found = [F.when(s >= least, F.struct(F.lit(f).alias("field"), v.alias("value"), (F.least(s, F.lit(most)) / 100.0).alias("confidence"), F.lit(f"ranked {f} line").alias("reason"))) for (f, v, least, most), s in zip(fields, scores, strict=True)]
-    by = F.when(F.col("text").rlike(P.BY) & classify.person(own), F.struct(F.lit("author").alias("field"), own.alias("value"), F.lit(90) / 100.0, F.lit("explicit by-line").alias("reason")))
+    by = F.when(F.col("text").rlike(P.BY) & classify.person(own), F.struct(F.lit("author").alias("field"), own.alias("value"), (F.lit(90) / 100.0).alias("confidence"), F.lit("explicit by-line").alias("reason")))
     return rows.select("doc_id", "ord", "page", F.explode(F.array_compact(F.array(by, *found))).alias("c")).select("doc_id", "ord", "page", "c.field", "c.value", "c.confidence", "c.reason")
 
 

@@ -13,7 +13,9 @@ def events(spark: SparkSession, path: str, schema) -> DataFrame:
 def per_window(rows: DataFrame, late: str = "1 day", size: str = "1 hour") -> DataFrame:
     """Counts and sums of each type and window; works on streams and tables."""
     if rows.isStreaming:
-        rows = rows.withWatermark("ts", late)
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    else:
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
