@@ -141,13 +141,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _rooted(fps: DataFrame, hot: int) -> DataFrame:
+    """fps (distinct fp, other columns) with root: the fingerprint that names its component."""
+    roots = components(links(fps.select("fp"), hot))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, hot: int = 64, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, fp, component_id (smallest doc_id reachable, itself included) and linked (its fingerprint has another near it)."""
+    """The kept columns, fp and component_id (smallest doc_id reachable, itself included)."""
     marked = materialize(fingerprints(docs, words, keep), "fingerprints")
-    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(fps.select("fp"), hot))
-    # a fingerprint belongs to its root's component, or is one of its own
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), hot)
     named = named.withColumn("component_id", F.min("least").over(Window.partitionBy("root"))).select("fp", "component_id")
     return marked.join(named, "fp").select(*keep, "fp", "component_id")
 
@@ -155,14 +158,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, hot: int = 64, keep: tuple[
 def deduplicate(docs: DataFrame, words: int = 3, hot: int = 64) -> DataFrame:
     """The documents (all columns) that stay: of each component one row, that of its smallest doc_id.
 
-    Of repeated rows with that doc_id one stays, that with the least fingerprint and text hash; null ids come last.
+    Of several rows with that doc_id the one with the least text hash stays; null ids come last. The row to keep is found for
+    each fingerprint first, in each task and then by a shuffle, so a text copied to a third of all documents stays spread.
     """
-    # the row is told apart by id and text hash, so that texts themselves are not shuffled with the groups
-    row = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = near_duplicates(row, words, hot, ("doc_id", "_hash"))
-    least = found.groupBy("fp", "component_id").agg(F.min_by(F.struct("doc_id", "fp", "_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "_hash")).alias("x"))
-    least = least.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min_by("x", F.struct(F.col("x.doc_id").isNull(), "x")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x._hash").alias("_kept"))
-    joined = row.join(least, row["doc_id"].eqNullSafe(least["_id"]) & (row["_hash"] == least["_kept"]))
+    keys = ["_null", "_id", "_hash"]
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("text"),
+        F.col("doc_id").isNull().alias("_null"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"),
+        F.col("doc_id").alias("_order"),
+    )
+    marked = materialize(fingerprints(rows, words, (*keys, "_order")), "fingerprints")
+    order = lambda x="": F.struct(F.col(f"{x}_null"), F.col(f"{x}_order"), F.col(f"{x}_hash"))
+    best = marked.groupBy("fp").agg(F.min_by(F.struct(*keys, "_order"), order()).alias("x"))
+    kept = _rooted(best, hot).groupBy("root").agg(F.min_by("x", order("x.")).alias("x")).select("x._null", "x._id", "x._hash")
     # exact repetitions of a row: one stays
-    repeated = Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0))
-    return joined.withColumn("_n", F.row_number().over(repeated)).where("_n = 1").select(*docs.columns)
+    repeated = Window.partitionBy(*keys).orderBy(F.lit(0))
+    joined = rows.select("row", *keys).join(kept, keys)
+    return joined.withColumn("_n", F.row_number().over(repeated)).where("_n = 1").select("row.*")
