@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sample_share
 
 
 def two_means(x: np.ndarray, rng) -> np.ndarray:
@@ -221,9 +221,9 @@ def search(
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = max(1, min(most_lists, facts["n"] // list_size))
-    share = max(1, -(-facts["n"] // sample))
+    share = sample_share(facts["n"], sample)
     drawn = indexed.where(F.pmod(F.xxhash64("rep"), F.lit(share)) == 0).limit(sample).select("embedding").toPandas()["embedding"]
-    drawn = drawn if len(drawn) else indexed.limit(sample).select("embedding").toPandas()["embedding"]
+    drawn = drawn if len(drawn) else indexed.orderBy("rep").limit(sample).select("embedding").toPandas()["embedding"]
     points = lengthened(np.stack(drawn.to_numpy()).astype(np.float32), facts["most"])
     points = points[np.lexsort(points.T)]
     graph = CentroidGraph(balanced_centroids(points, lists, np.random.Generator(np.random.PCG64(seed))))

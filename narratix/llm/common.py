@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +44,9 @@ def crc_mod(column: str, mod: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def held(doc_id, mod: int) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod == 0
+def sample_share(rows: int, sample: int) -> int:
+    """Of how many hash classes one is drawn, so that a tenth less than sample rows are expected: a limit then cuts none, by chance or order."""
+    return max(1, -(-10 * rows // (9 * sample))) if rows > sample else 1
 
 
 def text_chunks(column, max_bytes: int = 2_000_000):

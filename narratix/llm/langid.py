@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import crc_mod, text_chunks
+from .common import crc_mod, sample_share, text_chunks
 
 WINDOW, HIDDEN, UNKNOWN = 96, 8, "und"
 
@@ -116,7 +116,7 @@ def _cut(per_doc: int):
 def fit(docs: DataFrame, mod: int = 5, sample: int = 3000, per_doc: int = 6) -> Model:
     """Learn from documents whose crc32(doc_id) mod `mod` is not 0, `sample` of them at most, per_doc windows of each."""
     own = docs.where((crc_mod("doc_id", mod) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    share = max(1, own.select("doc_id").count() // sample)
+    share = sample_share(own.select("doc_id").count(), sample)
     drawn = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).limit(sample).select("lang", "text")
     got = drawn.mapInPandas(_cut(per_doc), "lang string, data binary").toPandas()
     got = got.sort_values(["lang", "data"], kind="stable")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import ALNUM, LOWER, crc_mod, ranges, span_hashes, text_chunks, word_spans
+from .common import ALNUM, LOWER, crc_mod, ranges, sample_share, span_hashes, text_chunks, word_spans
 
 WINDOW, STEP, HIDDEN, LONGEST = 32, 16, 8, 4000
 WORDS, GRAMS, WORD_DIM, GRAM_DIM = 4096, 1 << 15, 6, 6
@@ -257,7 +257,7 @@ def trained(texts: pa.Array, y: np.ndarray, rounds: int = 5, batch: int = 128, s
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, sample: int = 6000) -> Model:
     """Learn from labels of documents whose crc32(doc_id) mod `mod` is not 0; `sample` labelled documents at most."""
     known = labels.where((crc_mod("doc_id", mod) != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = max(1, known.count() // sample)
+    share = sample_share(known.count(), sample)
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0
     texts = docs.where((crc_mod("doc_id", mod) != 0) & pick & (F.size(F.split(F.coalesce("text", F.lit("")), r"\s+", LONGEST + 1)) <= LONGEST)).select("doc_id", "text")
     got = texts.join(known.where(pick), "doc_id").limit(sample).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("double").alias("toxic"))
