@@ -124,10 +124,6 @@ def figure_caption(c: Column) -> Column:
     return let(narration_paragraph(c), lambda t: F.when(t.rlike(rf"(?i)\A(?:figure|fig\.){P.SPACE}+[0-9]"), t).otherwise(strip(F.concat(F.lit("Figure caption. "), t))))
 
 
-def safe_name(c: Column, most: int = 80) -> Column:
-    return F.left(sub(sub(F.lower(strip(c)), r"[^a-z0-9]+", "_"), r"\A_+|_+\z"), F.lit(most))
-
-
 def range_list(c: Column) -> Column:
     """`1-3,6,2` as sorted distinct numbers; parts that are no number or range are left out."""
     ends = lambda x: F.transform(F.split(x, "-"), lambda y: F.trim(y).try_cast("int"))
@@ -145,10 +141,11 @@ def minutes(words: Column, per_minute: int = 150) -> Column:
 
 
 def clock(c: Column) -> Column:
-    """Seconds as HH:MM:SS, or MM:SS under an hour."""
-    s = F.bround(c).cast("int")
+    """Seconds as HH:MM:SS, or MM:SS under an hour; less than none counts as none, null is `--:--`."""
+    s = F.greatest(F.lit(0), F.bround(c).cast("int"))
     h, m = (s / 3600).cast("int"), (s % 3600 / 60).cast("int")
-    return F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%02d:%02d", m, s % 60))
+    text = F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%02d:%02d", m, s % 60))
+    return F.when(c.isNull(), "--:--").otherwise(text)
 
 
 def heading_unit(c: Column) -> Column:

@@ -180,6 +180,12 @@ def values(texts: list[str], columns: str = "") -> str:
 DOC_LINES = "SELECT doc_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
 
 
+CHAPTERS = """toc AS (SELECT conv_id AS book, turn AS idx, turn + 1 AS page FROM conversations WHERE role = 'user'),
+      totals AS (SELECT conv_id AS book, max(turn) + 1 AS total_pages FROM conversations GROUP BY 1),
+      ranges AS (SELECT book, CAST(row_number() OVER w AS INTEGER) AS chapter, page AS start_page, coalesce(lead(page) OVER w - 1, total_pages) AS end_page FROM toc JOIN totals USING (book) WHERE page <> 0 WINDOW w AS (PARTITION BY book ORDER BY idx)
+        UNION ALL SELECT book, 1, 1, total_pages FROM totals WHERE book NOT IN (SELECT book FROM toc))"""
+
+
 def sql(literals: list[str]) -> dict[str, str]:
     every = f"lines AS ({DOC_LINES} UNION ALL SELECT * FROM (VALUES {values(literals, ', 1')}) v(doc_id, line_no, line))"
     docs = f"lines AS ({DOC_LINES})"
@@ -187,10 +193,6 @@ def sql(literals: list[str]) -> dict[str, str]:
     first = "string_split(text, chr(10))[1]"
     spoken = f"CASE WHEN kind = 'figure_caption' THEN CASE WHEN {has('p', chr(92) + 'A(?i)(?:figure|fig' + chr(92) + '.)' + P.SPACE + '+[0-9]')} THEN p ELSE {strip(q('Figure caption. ') + ' || p')} END ELSE p END"
     blocks = f"{docs}, {kinds}, said AS (SELECT doc_id, line_no, {spoken} AS block FROM (SELECT *, {narration_paragraph('line')} AS p FROM kinds WHERE {skip_reason('line', 'kind', False)} IS NULL))"
-    chapters = """toc AS (SELECT conv_id AS book, turn AS idx, turn + 1 AS page FROM conversations WHERE role = 'user'),
-      totals AS (SELECT conv_id AS book, max(turn) + 1 AS total_pages FROM conversations GROUP BY 1),
-      ranges AS (SELECT book, CAST(row_number() OVER w AS INTEGER) AS chapter, page AS start_page, coalesce(lead(page) OVER w - 1, total_pages) AS end_page FROM toc JOIN totals USING (book) WHERE page <> 0 WINDOW w AS (PARTITION BY book ORDER BY idx)
-        UNION ALL SELECT book, 1, 1, total_pages FROM totals WHERE book NOT IN (SELECT book FROM toc))"""
     fold = f"""{blocks}, compacted AS (SELECT doc_id, line_no, {compact('block')} AS b FROM said WHERE block <> ''),
       parts AS (SELECT doc_id, line_no, CASE WHEN {heading_unit('b')} THEN [b] ELSE {sentences('b')} END AS s, b FROM compacted WHERE b <> ''),
       flat AS (SELECT doc_id, line_no, generate_subscripts(s2, 1) AS k, unnest(s2) AS unit FROM (SELECT doc_id, line_no, CASE WHEN len(s) = 0 THEN [b] ELSE s END AS s2 FROM parts)),
@@ -218,8 +220,8 @@ def sql(literals: list[str]) -> dict[str, str]:
         "nar_render": f"WITH {blocks} SELECT d.doc_id, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY line_no) FILTER (WHERE block <> ''), '') AS narration FROM documents d LEFT JOIN said USING (doc_id) GROUP BY 1",
         "chk_chunks": f"WITH RECURSIVE {fold} SELECT doc_id, ord, words, n_units, estimated_seconds FROM timed",
         "chk_manifest": f"WITH RECURSIVE {fold} SELECT doc_id, count(*) AS chunks, CAST(sum(words) AS BIGINT) AS words, CAST(sum(estimated_seconds) AS BIGINT) AS estimated_seconds, round_even(sum(estimated_seconds) / 60.0, 2) AS estimated_minutes FROM timed GROUP BY 1",
-        "win_chapter_ranges": f"WITH {chapters} SELECT * FROM ranges",
-        "jn_page_chapter": f"WITH {chapters} SELECT r.book, r.chapter, CAST(coalesce(sum({count('c.text', P.TOKEN)}), 0) AS BIGINT) AS word_count FROM ranges r LEFT JOIN conversations c ON c.conv_id = r.book AND c.turn + 1 BETWEEN r.start_page AND r.end_page GROUP BY 1, 2",
+        "win_chapter_ranges": f"WITH {CHAPTERS} SELECT * FROM ranges",
+        "jn_page_chapter": f"WITH {CHAPTERS} SELECT r.book, r.chapter, CAST(coalesce(sum({count('c.text', P.TOKEN)}), 0) AS BIGINT) AS word_count FROM ranges r LEFT JOIN conversations c ON c.conv_id = r.book AND c.turn + 1 BETWEEN r.start_page AND r.end_page GROUP BY 1, 2",
         "agg_skip_hist": f"WITH {every}, {kinds}, reasons AS (SELECT CASE WHEN doc_id < 0 THEN 'literal' ELSE 'document' END AS origin, {skip_reason('line', 'kind', True)} AS reason FROM kinds) SELECT origin, reason, count(*) AS n FROM reasons WHERE reason IS NOT NULL GROUP BY ROLLUP (origin, reason)",
         "agg_type_counts": f"WITH {every}, {kinds} SELECT kind AS type, count(*) AS n, count(*) FILTER (WHERE kind NOT IN ('empty', {', '.join(map(q, SKIP))})) AS narrated FROM kinds GROUP BY 1",
         "win_dedupe_best": f"SELECT key, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_chars DESC, doc_id) AS n FROM (SELECT doc_id, n_chars, {norm_key(first)} AS key FROM documents)) WHERE n = 1",

@@ -27,7 +27,7 @@ def ocr_words(tsv: DataFrame, least: float = 35) -> DataFrame:
     whole = lambda k: at(k).try_cast("int")
     rows = tsv.where((F.size(f) >= 11) & (at(0) == "5")).select(
         "doc_id", "page", whole(2).alias("block"), whole(3).alias("par"), whole(4).alias("line_num"), whole(5).alias("ord"),
-        *((whole(k) / F.col("scale")).alias(n) for k, n in ((6, "left"), (7, "top"), (8, "width"), (9, "height"))), F.coalesce(at(10).try_cast("double"), F.lit(-1.0)).alias("conf"), F.trim(at(11)).alias("text"),
+        *((at(k).try_cast("double") / F.col("scale")).alias(n) for k, n in ((6, "left"), (7, "top"), (8, "width"), (9, "height"))), F.coalesce(at(10).try_cast("double"), F.lit(-1.0)).alias("conf"), F.trim(at(11)).alias("text"),
     )
     rows = rows.dropna(subset=["block", "par", "line_num", "ord", "left", "top", "width", "height"]).where((F.col("conf") >= least) & (F.col("text") != ""))
     return rows.select("doc_id", "page", "block", "par", F.col("line_num").alias("line"), "ord", "text", F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"), "conf")

@@ -1,7 +1,10 @@
 """Every query against its SQL on the smallest tables; the others give rows."""
 
 import pytest
-from narratix.plans import registry
+from narratix.plans import more, more_sql, registry
+
+QUERIES = registry.QUERIES | more.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL | more_sql.sql(registry.LITERALS)
 
 
 def rows(frame):
@@ -9,11 +12,11 @@ def rows(frame):
     return sorted(map(str, frame.where(frame.notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, duck, name):
-    got = registry.QUERIES[name](spark, sf).toPandas()
-    if name in registry.ORACLE_SQL:
-        assert rows(got) == rows(duck.execute(registry.ORACLE_SQL[name]).df())
+    got = QUERIES[name](spark, sf).toPandas()
+    if name in ORACLE_SQL:
+        assert rows(got) == rows(duck.execute(ORACLE_SQL[name]).df())
     elif name != "jn_similar":
         assert len(got)
 

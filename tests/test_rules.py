@@ -190,3 +190,37 @@ def test_patterns_are_portable():
 
     texts = [v for k, v in vars(patterns).items() if k.isupper() and isinstance(v, str)]
     assert not [t for t in texts if re.search(r"\\[wbsdWBSD]|\(\?[=!<]", t)]
+
+
+def test_speech(spark):
+    from narratix.functions import speech
+
+    assert one(spark, speech.tts_normalize, "Chapter 1: A Title\nIt cost US$1,000.50 then, all of it.") == "Chapter 1: A Title.\nIt cost 1,000.50 dollars then, all of it."
+    assert one(spark, speech.tts_segments, "Chapter 1: X\n\nThe Second Title\n\nThird Title Too\n\nbody") == ["Chapter 1: X.", "The Second Title.", "Third Title Too.\n\nbody"]
+    assert one(spark, speech.tts_segments, "") == [] and one(spark, speech.speech_normalize, "crea-\ntivity\ngoes\n\n\non") == "creativity goes\n\non"
+    assert one(spark, speech.ocr_normalize, "con-temporary con-temporary solv- ing , x- y") == "contemporary contemporary solving, xy"
+    assert [one(spark, speech.viable_ocr_line, x) for x in ("ab cd", "abc def", "12345 abc")] == [False, True, False]
+
+
+def test_names(spark):
+    from narratix.functions import names
+
+    assert one(spark, names.safe_filename, " A: b/c ") == "A_bc" and one(spark, names.safe_filename, "?!") == "Untitled" and one(spark, names.folder_name, "é!") == "Book"
+    assert one(spark, names.slug_title, "my_book-1999_2001") == "my book" and one(spark, names.size_label, 0.0) == "0 B" and one(spark, names.size_label, 1536.0) == "1.50 KB"
+    label = lambda *x: one(spark, lambda _: names.chapter_label(F.array(*map(F.lit, x))), 0.0)
+    assert [label(), label(7), label(*range(1, 8))] == ["full", "chapter_007", "chapters_001_002_003_004_005_006_plus"]
+    assert one(spark, T.clock, -3.0) == "00:00"
+
+
+def test_recovery(spark):
+    """Of three recognised lines one repeats an element, one is a page number and one is new."""
+    from narratix.operators import recovery
+
+    said = ["The first line is known to the page", "Here are words nobody has extracted before", "17"]
+    words = [(1, 1, k, j, w, 72.0 + 30 * j, 100.0 + 60 * k, 95.0 + 30 * j, 110.0 + 60 * k) for k, t in enumerate(said) for j, w in enumerate(t.split())]
+    words = spark.createDataFrame(words, "doc_id long, page long, line long, ord long, text string, x0 double, y0 double, x1 double, y1 double")
+    elements = spark.createDataFrame([(1, 1, 0, said[0], 70.0, 95.0, 400.0, 115.0)], "doc_id long, page long, idx long, text string, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([(1, 1, 600.0, 800.0)], "doc_id long, page long, width double, height double")
+    got = recovery.recover(words, elements, pages).collect()
+    assert [(r["type"], r["text"], r["avg_coverage"]) for r in got] == [("heading", said[1], 0.0)]
+    assert recovery.recover(words.limit(0), elements, pages).count() == 0
