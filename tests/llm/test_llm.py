@@ -5,6 +5,7 @@ import hashlib
 import html
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -331,6 +332,18 @@ def test_personal_data(spark, sf, hard, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_personal_data_in_long_runs(spark):
+    """Runs of a pattern's signs without a match take time by their length, not its square."""
+    long = 400_000
+    texts = ["a" * long + " x@y.z", "1" * long + "@", "a." * (long // 2) + "@", "a-" * (long // 2) + "1.2.3.4", "1." * (long // 2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.spans(rows).collect()}
+    assert time.time() - began < 60
+    assert [got[k]["n_email"] for k in range(5)] == [1, 0, 0, 0, 0] and [got[k]["n_ip"] for k in range(5)] == [0, 0, 0, 1, long // 8]
+    assert got[0]["spans"] == f"email:{long + 1}:{long + 6}" and got[3]["spans"].endswith(f"ip:{long}:{long + 7}")
+
+
 def test_estimation():
     """Labelers that agree get trusted; a labeler at odds with them does not."""
     patterns = {(4, 1, 1, 0, 0, 1): 50, (4, -1, -1, 0, 0, -1): 50, (4, 1, 1, 0, 0, -1): 5, (4, -1, 0, 0, -1, 1): 5}
