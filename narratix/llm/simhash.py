@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, hot: int = 64, keep: tuple[
     """The kept columns, fp and component_id (smallest doc_id reachable, itself included)."""
     marked = materialize(fingerprints(docs, words, keep), "fingerprints")
     named = _rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), hot)
-    named = named.withColumn("component_id", F.min("least").over(Window.partitionBy("root"))).select("fp", "component_id")
+    # least ids are taken before the shuffle, so a component of a third of all fingerprints is no task's own
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select(*keep, "fp", "component_id")
 
 
