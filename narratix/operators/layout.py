@@ -108,10 +108,16 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a.lower(), b.lower()).ratio()
 
 
+def ratio_over(a: str, b: str, threshold: float) -> float:
+    """The ratio, or 0 where a quick bound shows that it is not over the threshold."""
+    m = SequenceMatcher(None, a.lower(), b.lower())
+    return m.ratio() if m.real_quick_ratio() > threshold and m.quick_ratio() > threshold else 0.0
+
+
 def _similar(threshold: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f = f.assign(similarity=[ratio(a, b) for a, b in zip(f["a_text"], f["b_text"], strict=True)])
+            f = f.assign(similarity=[ratio_over(a, b, threshold) for a, b in zip(f["a_text"], f["b_text"], strict=True)])
             yield f[f["similarity"] > threshold]
 
     return run

@@ -200,7 +200,7 @@ def chk_cases(spark, d):
 
 def idn_select(spark, d):
     null = F.lit(None).cast("double")
-    rows = with_literals(spark, d).where("line_no <= 4").select("doc_id", F.col("line_no").alias("ord"), T.compact(F.col("line")).alias("text"), F.lit(1).alias("page"), null.alias("font_size"), null.alias("y_ratio"), null.alias("center_x_ratio"))
+    rows = with_literals(spark, d).select("doc_id", F.col("line_no").alias("ord"), T.compact(F.col("line")).alias("text"), F.lit(1).alias("page"), null.alias("font_size"), null.alias("y_ratio"), null.alias("center_x_ratio"))
     return identity.select(identity.candidates(rows)).select("doc_id", "field", "value", F.bround(F.col("confidence") * 100).cast("int").alias("score"))
 
 
@@ -218,7 +218,7 @@ def lay_recovery(spark, d):
 
 def jn_repeats(spark, d):
     """Header and footer candidates of documents whose pages are their lines."""
-    rows = placed(spark, d).select("doc_id", F.format_string("p%06d", F.col("line_no")).alias("id"), F.when(F.col("line_no") % 2 == 0, "header_candidate").otherwise("footer_candidate").alias("type"), F.left("line", F.lit(60)).alias("text")).where("text <> ''")
+    rows = placed(spark, d).select("doc_id", F.format_string("p%06d", F.col("line_no")).alias("id"), F.when(F.col("line_no") % 2 == 0, "header_candidate").otherwise("footer_candidate").alias("type"), F.col("line").alias("text")).where("text <> ''")
     return layout.promote_repeats(rows).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 

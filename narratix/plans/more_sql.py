@@ -123,10 +123,10 @@ def sql(literals: list[str]) -> dict[str, str]:
     seg = nonempty(f"string_split({sub('n', rf'\n{P.SPACE}*\n', chr(1))}, chr(1))")
     at = lambda k: f"list_transform([{compact(f'coalesce(p[{k}], {q(chr(32))})')}], lambda t: {heading_line('t')})[1]"
     healed = twice("string_agg(t, chr(10) ORDER BY line_no)", r"([A-Za-z])-\n([a-z])", "$1$2")
-    islands = f"""lines AS ({o.DOC_LINES}), placed AS (SELECT doc_id, line_no, left(line, 200) AS t, 72::DOUBLE AS x0, 500::DOUBLE AS x1, line_no * 10::DOUBLE AS y0, line_no * 10::DOUBLE + 9 AS y1 FROM lines WHERE line_no <= 60),
-      headed AS (SELECT *, ({heading}) OR y1 > 800 * 0.88::DOUBLE AS head, median(y1 - y0) OVER (PARTITION BY doc_id) AS m FROM placed),
-      cuts AS (SELECT *, coalesce(CAST(y0 - lag(y1) OVER w > m * 1.45::DOUBLE OR head OR lag(head) OVER w OR (abs(x0 - lag(x0) OVER w) > 24 AND y0 - lag(y1) OVER w >= m * -0.2::DOUBLE) AS INTEGER), 0) AS cut FROM headed WINDOW w AS (PARTITION BY doc_id ORDER BY y0, x0, line_no)),
-      numbered AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY doc_id ORDER BY y0, x0, line_no) AS BIGINT) AS paragraph FROM cuts)"""
+    islands = f"""lines AS ({o.DOC_LINES}), placed AS (SELECT doc_id, (line_no - 1) // 60 AS page, line_no, line AS t, 72::DOUBLE AS x0, 500::DOUBLE AS x1, ((line_no - 1) % 60 + 1) * 10::DOUBLE AS y0, ((line_no - 1) % 60 + 1) * 10::DOUBLE + 9 AS y1 FROM lines),
+      headed AS (SELECT *, ({heading}) OR y1 > 800 * 0.88::DOUBLE AS head, median(y1 - y0) OVER (PARTITION BY doc_id, page) AS m FROM placed),
+      cuts AS (SELECT *, coalesce(CAST(y0 - lag(y1) OVER w > m * 1.45::DOUBLE OR head OR lag(head) OVER w OR (abs(x0 - lag(x0) OVER w) > 24 AND y0 - lag(y1) OVER w >= m * -0.2::DOUBLE) AS INTEGER), 0) AS cut FROM headed WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, line_no)),
+      numbered AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_no) AS BIGINT) AS paragraph FROM cuts)"""
     return {
         "str_speech_normalize": f"WITH {texts} SELECT doc_id, {strip(sub(joined, '[ ' + chr(92) + 't]+', ' '))} AS text FROM texts",
         "str_ocr_normalize": f"WITH {texts} SELECT doc_id, {ocr_normalize('text')} AS text FROM texts",
@@ -149,7 +149,7 @@ def sql(literals: list[str]) -> dict[str, str]:
           told AS (SELECT f.doc_id, f.page, f.line, string_agg(b.text, ' ' ORDER BY b.idx) AS t FROM (SELECT DISTINCT doc_id, page, line, idx FROM firsts) f JOIN boxes b ON b.doc_id = f.doc_id AND b.page = f.page AND b.idx = f.idx GROUP BY 1, 2, 3)
           SELECT s.doc_id, s.page, s.line, coverage, coalesce(t, '') AS covered_text FROM (SELECT doc_id, page, line, round_even(avg(CASE WHEN idx IS NULL THEN 0 ELSE 1 END), 3) AS coverage FROM firsts GROUP BY 1, 2, 3) s LEFT JOIN told USING (doc_id, page, line)""",
         "win_ocr_groups": f"WITH {groups} SELECT doc_id, page, line, CAST(sum(cut) OVER w AS BIGINT) AS paragraph FROM cuts {own}",
-        "win_paragraphs": f"WITH {islands} SELECT doc_id, paragraph, CAST(length({o.normalize_text('a')}) AS INTEGER) AS n_chars FROM (SELECT doc_id, paragraph, {healed} AS a FROM numbered GROUP BY 1, 2)",
+        "win_paragraphs": f"WITH {islands} SELECT doc_id, page, paragraph, CAST(length({o.normalize_text('a')}) AS INTEGER) AS n_chars FROM (SELECT doc_id, page, paragraph, {healed} AS a FROM numbered GROUP BY 1, 2, 3)",
         "src_ocr_tsv": f"WITH {tsv} SELECT * FROM tsv",
         "agg_ocr_lines": f"WITH {tsv} SELECT doc_id, page, block || '-' || par || '-' || line AS key, string_agg(text, ' ' ORDER BY x0, ord) AS text, {box} FROM tsv GROUP BY doc_id, page, block, par, line",
         "agg_book_manifest": f"SELECT book, count(*) AS total_pages, CAST(sum(n) AS BIGINT) AS total_words, round_even(sum(n) / 150.0::DOUBLE, 2) AS estimated_minutes FROM (SELECT conv_id AS book, {count('text', P.TOKEN)} AS n FROM conversations) GROUP BY 1",
@@ -169,7 +169,7 @@ def sql(literals: list[str]) -> dict[str, str]:
         "src_json": f"WITH {e} SELECT e AS event_id, CASE WHEN e % 5 = 0 OR e % 7 = 0 THEN -1 ELSE CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS INTEGER) END AS k FROM ev",
         "srt_natural": f"WITH {e} SELECT e AS event_id, 'part' || lpad(CAST(e % 200 AS VARCHAR), 12, '0') || '_' || lpad(CAST(e AS VARCHAR), 12, '0') || '.txt' AS key FROM ev",
         "chk_cases": f"WITH c AS (SELECT * FROM (VALUES {', '.join(case)}) v(id, file, must_contain, must_not_contain, must_match_line, must_not_match_line, expected)) SELECT id, CASE WHEN coalesce(expected, 'pass') = 'known_fail' THEN CASE WHEN {holds} THEN 'RESOLVED' ELSE 'KNOWN_FAIL' END WHEN {holds} THEN 'PASS' ELSE 'FAIL' END AS status FROM c LEFT JOIN documents ON file = 'doc ' || doc_id",
-        "idn_select": f"""WITH {every}, sc AS ({o.identity_scores()}), li AS (SELECT doc_id, line_no, {compact('line')} AS t FROM lines WHERE line_no <= 4),
+        "idn_select": f"""WITH {every}, sc AS ({o.identity_scores()}), li AS (SELECT doc_id, line_no, {compact('line')} AS t FROM lines),
           ok AS (SELECT li.doc_id, li.line_no, t, title, subtitle, author, {byline} AS own FROM li JOIN sc USING (doc_id, line_no) WHERE {sane}),
           cand AS (SELECT doc_id, line_no, 'title' AS field, t AS value, least(title, 98) AS score FROM ok WHERE title >= 55 UNION ALL SELECT doc_id, line_no, 'subtitle', t, least(subtitle, 95) FROM ok WHERE subtitle >= 50
             UNION ALL SELECT doc_id, line_no, 'author', own, least(author, 98) FROM ok WHERE author >= 62 UNION ALL SELECT doc_id, line_no, 'author', own, 90 FROM ok WHERE {has('t', P.BY)} AND {o.person(sub('own', r'\A[ |]+|[ |]+\z'))}),

@@ -135,7 +135,7 @@ def identity_scores() -> str:
       CAST(30 + {add(('n BETWEEN 4 AND 14', 12), ('n > 16', -10), ('is_person', -10), ('is_sub', 25), ('is_case', 8), ('is_noise', -50))} AS INTEGER) AS subtitle,
       CAST(25 + {add(('n > 16', -20), ('is_person', 45), ('is_noise', -50))} AS INTEGER) AS author
     FROM (SELECT *, {subtitle} AS is_sub FROM (SELECT doc_id, line_no, t, {n} AS n, {person(tidy)} AS is_person, {case} AS is_case, {noise('t')} AS is_noise
-      FROM (SELECT doc_id, line_no, {compact('line')} AS t FROM lines WHERE line_no <= 4)))"""
+      FROM (SELECT doc_id, line_no, {compact('line')} AS t FROM lines)))"""
 
 
 def speech_line(raw: str) -> str:

@@ -80,7 +80,7 @@ def prj_front_matter(spark, d):
 
 
 def prj_identity_score(spark, d):
-    rows = with_literals(spark, d).where("line_no <= 4")
+    rows = with_literals(spark, d)
     title, subtitle, author = classify.identity_scores(T.compact(F.col("line")), F.lit(1))
     return rows.select("doc_id", "line_no", title.alias("title"), subtitle.alias("subtitle"), author.alias("author"))
 
@@ -198,10 +198,11 @@ def win_line_cluster(spark, d):
 
 
 def win_paragraphs(spark, d):
-    """Lines of each document as a page with a step of 14 points, then paragraphs."""
-    rows = narration.lines(documents(spark, d)).where("line_no <= 60")
-    rows = rows.select("doc_id", F.lit(1).alias("page"), F.col("line_no").alias("line"), F.left("line", F.lit(200)).alias("text"), F.lit(72.0).alias("x0"), (F.col("line_no") * 10.0).alias("y0"), F.lit(500.0).alias("x1"), (F.col("line_no") * 10.0 + 9).alias("y1"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
-    return layout.merged(layout.paragraphs(rows)).select("doc_id", "paragraph", F.length("text").alias("n_chars"))
+    """Lines of each document on pages of sixty lines with a step of 10 points, then paragraphs."""
+    rows, n = narration.lines(documents(spark, d)), F.col("line_no") - 1
+    y = (n % 60 + 1).cast("double") * 10
+    rows = rows.select("doc_id", (n / 60).cast("int").alias("page"), F.col("line_no").alias("line"), F.col("line").alias("text"), F.lit(72.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 9).alias("y1"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    return layout.merged(layout.paragraphs(rows)).select("doc_id", "page", "paragraph", F.length("text").alias("n_chars"))
 
 
 QUERIES = {
