@@ -4,11 +4,14 @@ A page is read tag by tag into blocks of text. Blocks in menus, page headers, fo
 and hidden or unseen elements are left out; where there is an article (or main) element, only its blocks are candidates. The
 candidates of a host's pages are concatenated as token streams, with a sign between blocks, and sorted by suffix: a stretch of at
 least ``RUN`` tokens that occurs on enough distinct pages is boilerplate, and blocks that such stretches cover go. Outside
-articles ``LOOSE`` of the pages (3 at least) are enough; inside an article it takes ``STRICT`` of the pages (10 at least), since
+articles ``LOOSE`` of the host's pages (3 at least) are enough; inside an article it takes ``STRICT`` of them (10 at least), since
 articles may be copied or quoted on many pages and are not to be cut.
 
-A host is dealt into shards of about ``shard_bytes`` of html by a hash of the page, so a host that holds a third of all pages
-is spread over many tasks; a share of pages is the same in every shard but for chance. Sums per host are taken before the shuffle.
+A host's pages are dealt by a hash into shards of about ``shard_bytes`` of html, and of ``PAGES`` pages where those are larger, so
+a host that holds a third of all pages is spread over many tasks. The decision is the host's: a stretch on a share of all pages is
+on that share of some shard's, so each shard hands on the counts of those on ``LOOSE`` of its own pages. Their sums and the most
+that the other shards may add settle most stretches; the rest are counted once more over the host's pages. Then every page
+is read again and judged by the stretches found, which are broadcast where they are few.
 
 Null or empty html gives an empty text, a null url belongs to the host with the empty name, malformed or cut-off markup is read
 as far as it goes. Repeated rows come out repeatedly, an empty table gives none. Other columns are ignored.
@@ -16,9 +19,10 @@ as far as it goes. Repeated rows come out repeatedly, an empty table gives none.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from .common import SPACED, materialize, span_hashes, text_chunks, word_spans
 RUN, LOOSE, STRICT, COVER = 8, 0.1, 0.5, 0.8
 #: The most hosts whose names and sizes (about 50 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST = 50_000
+#: The fewest pages of a shard, on average; the most stretches (8 bytes each) that are broadcast, more are dealt by host and shard.
+PAGES, STRETCHES = 40, 2_000_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title|select|object|canvas|video|audio|math)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -104,22 +110,26 @@ def blocks(page: str) -> tuple[list[str], bool]:
     return (inside, True) if seen_scope and inside else ([t for t, _ in found], False)
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [blocks(x) if x else ([], False) for x in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "shard")), pa.array(["\n".join(t) for t, _ in got], pa.string()), pa.array([s for _, s in got], pa.bool_())], ["page_id", "url", "host", "shard", "blocks", "scoped"])
+        texts = ["\n".join(blocks(x)[0]) if x else "" for x in batch.column("html").to_pylist()]
+        shard = [_hash(f"{i} {u}") % n for i, u, n in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "n")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("n"), pa.array(shard, pa.int64()), pa.array(texts, pa.string())], ["host", "n", "shard", "blocks"])
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, need: np.ndarray, run: int = RUN) -> np.ndarray:
-    """True for each token in a stretch of `run` tokens that stands on at least need[page] distinct pages.
+def repeated(tokens: np.ndarray, page: np.ndarray, least: int, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of `run` tokens on at least so many distinct pages: where each stands first, and its number of pages.
 
     Ranks of prefixes double until they tell stretches of `run` tokens apart; positions in order of rank are the suffix array
     to that depth, and neighbours of equal rank share such a stretch.
     """
     n = len(tokens)
-    covered = np.zeros(n + 1, np.int64)
     if n < run:
-        return covered[:n] > 0
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rank, k = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
     while k < run:
         step = min(k, run - k)
@@ -130,55 +140,168 @@ def repeated(tokens: np.ndarray, page: np.ndarray, need: np.ndarray, run: int =
     order = np.argsort(rank, kind="stable")
     order = order[(order + run <= n) & (page[np.minimum(order + run - 1, n - 1)] == page[order])]
     r, p = rank[order], page[order]
-    new = np.concatenate([[True], r[1:] != r[:-1]])
-    fresh = new | np.concatenate([[True], p[1:] != p[:-1]])  # positions rise within a rank, so pages do
-    group = np.cumsum(new) - 1
-    pages = np.bincount(group, weights=fresh)
-    hit = order[pages[group] >= need[p]]
-    np.add.at(covered, hit, 1)
-    np.add.at(covered, hit + run, -1)
-    return np.cumsum(covered)[:n] > 0
-
-
-def _unique_runs(t: pa.Table) -> pa.Table:
-    rows = t.num_rows
-    texts = t.column("blocks").combine_chunks()
-    scoped = t.column("scoped").to_numpy()
-    out = np.array([x.replace("\n", "\n\n") for x in texts.to_pylist()], dtype=object)
+    new = np.ones(len(r), bool)
+    new[1:] = r[1:] != r[:-1]
+    fresh = new.copy()
+    fresh[1:] |= p[1:] != p[:-1]  # positions rise within a rank, so pages do
+    pages = np.bincount(np.cumsum(new) - 1, weights=fresh).astype(np.int64)
+    return order[new][pages >= least], pages[pages >= least]
+
+
+def stream(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """The tokens of the rows' blocks with a sign before every block and the row of each; of each word its place there and its block."""
     ((_, buf, offsets),) = text_chunks(texts, 1 << 40)
     s, e, at = word_spans(buf, offsets, SPACED)
-    if len(s) and rows >= 3:
-        page = np.repeat(np.arange(rows), np.diff(at))
-        breaks = np.cumsum(buf == 10)
-        block = breaks[s] + page  # a new number for every block of every page
-        block = np.cumsum(np.concatenate([[0], block[1:] != block[:-1]]))
-        place = np.arange(len(s)) + block + 1  # a sign stands before every block
-        tokens = np.full(int(place[-1]) + 1, 1, np.uint64)
-        tokens[place] = span_hashes(buf, s, e)
-        pages = np.zeros(len(tokens), np.int64)
-        pages[place] = page
-        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        pages[place[first] - 1] = page[first]
-        need = np.where(scoped, max(10, int(np.ceil(STRICT * rows))), max(3, int(np.ceil(LOOSE * rows))))
-        cover = repeated(tokens, pages, need)[place]
-        size = np.bincount(block)
-        gone = np.bincount(block, weights=cover) >= COVER * size
-        for p in np.unique(page[first][gone]):
-            own = gone[block[first][page[first] == p]]
-            out[p] = "\n\n".join(x for x, g in zip(out[p].split("\n\n"), own, strict=True) if not g)
-    text = pa.array(out.tolist(), pa.string())
-    return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": text})
+    if not len(s):
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+    row = np.repeat(np.arange(len(texts)), np.diff(at))
+    breaks = np.cumsum(buf == 10)
+    block = breaks[s] + row  # a new number for every block of every row
+    block = np.cumsum(np.concatenate([[0], block[1:] != block[:-1]]))
+    place = np.arange(len(s)) + block + 1  # a sign stands before every block
+    tokens = np.full(int(place[-1]) + 1, 1, np.uint64)
+    tokens[place] = span_hashes(buf, s, e)
+    rows = np.zeros(len(tokens), np.int64)
+    rows[place] = row
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    rows[place[first] - 1] = row[first]
+    return tokens, rows, place, block
+
+
+def stretch_keys(tokens: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Signed 64-bit hashes of the stretches that begin at these places, seeded by the hash of their hosts."""
+    key = seeds.astype(np.uint64)
+    for j in range(RUN):
+        key = (key ^ tokens[at + j]) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _least(share: float, pages: int) -> int:
+    return int(np.ceil(share * pages - 1e-9))
+
+
+def _shard(t: pa.Table) -> pa.Table:
+    """Stretches on LOOSE of the shard's pages with their numbers of pages, and how many more pages an unlisted one may have; a row without key has the pages of the shard."""
+    host, rows = t.column("host")[0].as_py(), t.num_rows
+    alone = t.column("n")[0].as_py() == 1
+    least = max(3, _least(LOOSE, rows)) if alone else _least(LOOSE, rows)
+    tokens, page, _, _ = stream(t.column("blocks").combine_chunks())
+    at, pages = repeated(tokens, page, least)
+    keys = stretch_keys(tokens, at, np.full(len(at), _hash(host), np.int64))
+    n = len(keys) + 1
+    return pa.table({"host": pa.array([host] * n, pa.string()), "key": pa.array([None, *keys.tolist()], pa.int64()), "pages": pa.array([rows, *pages.tolist()], pa.int64()), "more": pa.array([0 if alone else least - 1] * n, pa.int64())})
+
+
+def _hits(tokens: np.ndarray, rows: np.ndarray, seeds: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where one of the (sorted) stretches begins, and its index."""
+    if len(tokens) < RUN or not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(rows[: len(rows) - RUN + 1] == rows[RUN - 1 :])
+    key = stretch_keys(tokens, at, seeds[rows[at]])
+    i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    hit = keys[i] == key
+    return at[hit], i[hit]
+
+
+def _slices(batch, step: int = 4_000_000) -> Iterator:
+    """Rows of about so many bytes of html; a larger page is a slice of its own."""
+    ends, lo = np.cumsum([len(x or "") for x in batch.column("html").to_pylist()]), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + step, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _parsed(batch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    got = [blocks(x) if x else ([], False) for x in batch.column("html").to_pylist()]
+    return pa.array(["\n".join(t) for t, _ in got], pa.string()), np.array([s for _, s in got]), np.array([_hash(h) for h in batch.column("host").to_pylist()], np.int64)
+
+
+def _recount(batch, keys: np.ndarray, kinds: np.ndarray):
+    """How many of these pages have each of the stretches."""
+    for part in _slices(batch):
+        texts, _, seeds = _parsed(part)
+        tokens, rows, _, _ = stream(texts)
+        at, i = _hits(tokens, rows, seeds, keys)
+        pair = np.unique(i * len(texts) + rows[at])
+        i, pages = np.unique(pair // len(texts), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[i], pa.int64()), pa.array(pages, pa.int64())], ["key", "pages"])
+
+
+def _clean(batch, keys: np.ndarray, kinds: np.ndarray):
+    """The pages without the blocks that stretches cover; those of kind 2 count inside articles too."""
+    for part in _slices(batch):
+        texts, scoped, seeds = _parsed(part)
+        out = [x.replace("\n", "\n\n") for x in texts.to_pylist()]
+        tokens, rows, place, block = stream(texts) if len(keys) else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+        at, i = _hits(tokens, rows, seeds, keys)
+        at = at[(kinds[i] == 2) | ~scoped[rows[at]]]
+        if len(at):
+            covered = np.zeros(len(tokens) + 1, np.int64)
+            np.add.at(covered, at, 1)
+            np.add.at(covered, at + RUN, -1)
+            cover = (np.cumsum(covered)[:-1] > 0)[place]
+            gone = np.bincount(block, weights=cover) >= COVER * np.bincount(block)
+            owner = rows[place[np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))]]
+            for p in np.unique(owner[gone]):
+                out[p] = "\n\n".join(x for x, g in zip(out[p].split("\n\n"), gone[owner == p], strict=True) if not g)
+        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c := part.column(n), pa.ChunkedArray) else c for n in ("page_id", "url")), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+
+def _with_stretches(rows: DataFrame, found: DataFrame, shards: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """run(rows, keys, kinds) over all rows, where keys hold all the stretches (host, key, kind) of the rows' hosts."""
+    if found.count() <= STRETCHES:
+        table = found.select("key", "kind").toArrow().sort_by("key")
+        keys, kinds = table.column("key").to_numpy(), table.column("kind").to_numpy()
+
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from run(batch, keys, kinds)
+
+        return rows.mapInArrow(mapped, schema)
+
+    def grouped(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("key")
+        got = list(run(left, right.column("key").to_numpy(), right.column("kind").to_numpy()))
+        return pa.Table.from_batches(got) if got else pa.table({x.split()[0]: pa.array([], pa.string() if x.endswith("string") else pa.int64()) for x in schema.split(", ")})
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("n")))
+    spread = found.join(shards, F.col("host") == F.col("_host")).select("host", "key", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("shard"))
+    return dealt.groupBy("host", "shard").cogroup(spread.groupBy("host", "shard")).applyInArrow(grouped, schema)
+
+
+def _kind(pages, total):
+    """2: boilerplate anywhere; 1: outside articles; 0: not."""
+    enough = lambda least, share: (pages >= least) & (pages >= F.lit(share) * total - F.lit(1e-9))
+    return F.when(enough(10, STRICT), 2).when(enough(3, LOOSE), 1).otherwise(0).cast("int")
+
+
+def stretches(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """host, key and kind of every stretch that is boilerplate on its host."""
+    few = F.broadcast if shards.count() <= BROADCAST else lambda x: x
+    parsed = rows.select("page_id", "url", "html", "host", "n").mapInArrow(_parse, "host string, n long, shard long, blocks string")
+    counts = materialize(parsed.groupBy("host", "shard").applyInArrow(_shard, "host string, key long, pages long, more long"), "stretches")
+    totals = counts.where("key is null").groupBy(F.col("host").alias("_host")).agg(F.sum("pages").alias("total"), F.sum("more").alias("most"))
+    listed = counts.where("key is not null").groupBy("host", "key").agg(F.sum("pages").alias("low"), F.sum("more").alias("less"))
+    judged = listed.join(few(totals), F.col("host") == F.col("_host")).withColumn("kind", _kind(F.col("low"), F.col("total")))
+    judged = judged.withColumn("high", _kind(F.col("low") + F.col("most") - F.col("less"), F.col("total"))).where("high > 0")
+    judged = materialize(judged.select("host", "key", "kind", "high", "total"), "judged")
+    open_ = judged.where("kind < high")
+    sure = judged.where("kind = high").select("host", "key", "kind")
+    if open_.isEmpty():
+        return sure
+    again = _with_stretches(rows.where("n > 1"), open_, shards, _recount, "key long, pages long").groupBy("key").agg(F.sum("pages").alias("pages"))
+    settled = open_.drop("kind").join(again, "key").select("host", "key", _kind(F.col("pages"), F.col("total")).alias("kind")).where("kind > 0")
+    return sure.unionByName(materialize(settled, "settled"))
 
 
 def extract(pages: DataFrame, shard_bytes: int = 400_000) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"))
-    sizes = rows.groupBy(F.col("host").alias("_host")).agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("size"))
-    shards = materialize(sizes.select("_host", F.ceil((F.col("size") + 1) / F.lit(shard_bytes)).alias("n")), "hosts")
-    if shards.count() <= BROADCAST:
-        shards = F.broadcast(shards)
-    dealt = rows.join(shards, F.col("host") == F.col("_host")).withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("n")))
+    sizes = rows.groupBy(F.col("host").alias("_host")).agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("size"), F.count("*").alias("pages"))
+    shards = materialize(sizes.select("_host", F.least(F.ceil((F.col("size") + 1) / F.lit(shard_bytes)), F.ceil(F.col("pages") / F.lit(PAGES))).alias("n")), "hosts")
+    dealt = rows.join(F.broadcast(shards) if shards.count() <= BROADCAST else shards, F.col("host") == F.col("_host")).drop("_host")
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = dealt.select("page_id", "url", "html", "host", "shard").mapInArrow(_parse, f"page_id {kind}, url string, host string, shard long, blocks string, scoped boolean")
-    out = parsed.groupBy("host", "shard").applyInArrow(_unique_runs, f"page_id {kind}, url string, text string")
+    out = _with_stretches(dealt, stretches(dealt, shards), shards, _clean, f"page_id {kind}, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -164,6 +164,40 @@ def test_extraction_markup(spark, empty):
     assert extract.extract(frame.limit(0)).count() == 0
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def test_extraction_of_large_pages(spark):
+    passage = "<p>Every story here may be read again in our archive of all years.</p>"
+    rows = [(k, f"http://h.example/{k}", f"<script>{'x' * size}</script><{tag}>{passage}<p>Story {k} of {tag} {' '.join(f'w{k}x{j}' for j in range(9))}</p></{tag}>") for size, tag, n in ((60_000, "article", 40), (190_000, "section", 12)) for k in range(n)]
+    for tag in ("article", "section"):
+        got = extract.extract(spark.createDataFrame([r for r in rows if f"<{tag}>" in r[2]], PAGES)).collect()
+        assert got and all(r["text"].startswith("Story") for r in got)
+
+
+def test_extraction_shards_agree(spark, monkeypatch):
+    """Shards of a few pages, with stretches broadcast or dealt, decide as one shard of the whole host does."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(120):
+        parts = [f"Line {j} stands on about {5 * j + 2} of a hundred pages of this host" for j in range(14) if rng.random() < 0.05 * j + 0.02]
+        tag = "article" if k % 3 else "section"
+        rows.append((k, f"http://h.example/{k}", f"<{tag}>{''.join(f'<p>{x}</p>' for x in [*parts, f'Own {k}'])}</{tag}>"))
+    frame = spark.createDataFrame(rows, PAGES)
+
+    def run(pages, stretches, shard_bytes):
+        monkeypatch.setattr(extract, "PAGES", pages)
+        monkeypatch.setattr(extract, "STRETCHES", stretches)
+        return sorted(map(tuple, extract.extract(frame, shard_bytes).collect()))
+
+    whole = run(1000, 10**6, 10**9)
+    count = Counter(x for r in rows for x in set(re.findall("Line [0-9]+ [^<]+", r[2])))
+    for (_, _, page), r in zip(rows, whole, strict=True):
+        need = max(10, 60) if "<article>" in page else max(3, 12)
+        assert r[2].split("\n\n") == [x for x in re.findall("<p>(.*?)</p>", page) if count[x] < need]
+    assert run(6, 10**6, 100) == whole and run(30, 10**6, 100) == whole and run(30, 0, 100) == whole
+
+
 def test_warc(spark, sf):
     pages = table(spark, sf, "pages")
     rows = pages.select("page_id", "url", F.when(F.col("page_id") % 3 == 0, F.lit("x")).when(F.col("page_id") % 7 == 0, None).otherwise(F.col("html")).alias("html"))
