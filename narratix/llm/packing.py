@@ -16,6 +16,7 @@ ignored. Equal ids in equal documents are interchangeable, so ties between them
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,10 @@ from .common import materialize
 SIZE = 1024
 #: Rows of a bucket, and the most cut pieces that are broadcast (about 60 bytes each); more are joined by a shuffle.
 BUCKET, BROADCAST = 2048, 50_000
+#: A run of white space from which on the library's expression may exceed its stack.
+WIDE = 100_000
+SPACE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+RUNS = re.compile(rf"(?<!{SPACE}){SPACE}{{{WIDE},}}+")
 
 
 def encoder(path: str | None = None):
@@ -42,15 +47,27 @@ def encoder(path: str | None = None):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_ids(vocabulary, text: str) -> np.ndarray:
+    """The ids of a text. A long run of white space is one piece, but for its last sign where text follows, and is merged without the expression."""
+    if len(text) < WIDE:
+        return vocabulary.encode_to_numpy(text, disallowed_special=())
+    out, lo = [], 0
+    for m in RUNS.finditer(text):
+        hi = m.end() - (m.end() < len(text))
+        out += [vocabulary.encode_to_numpy(text[lo : m.start()], disallowed_special=()), np.array(vocabulary._encode_single_piece(text[m.start() : hi]), np.uint32)]
+        lo = hi
+    return np.concatenate([*out, vocabulary.encode_to_numpy(text[lo:], disallowed_special=())])
+
+
 def _tokens(size: int, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_to_numpy
+        vocabulary = encoder(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 n, full, crc, rest = [], [], [], []
                 for text in part.column("text").to_pylist():
-                    ids = np.append(encode(text, disallowed_special=()) if text else np.zeros(0, np.uint32), np.uint32(0)).astype("<u4")
+                    ids = np.append(token_ids(vocabulary, text) if text else np.zeros(0, np.uint32), np.uint32(0)).astype("<u4")
                     k = len(ids) // size * size
                     n.append(len(ids))
                     full.append([zlib.crc32(ids[i : i + size]) for i in range(0, k, size)])
@@ -152,7 +169,7 @@ def column_generation(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE,
             if entered or smooth == 0:
                 break
             smooth = 0.0 if smooth < 0.2 else smooth / 2
-        if not entered or bound <= (1 + gap) * (cost @ value):
+        if bound <= (1 + gap) * (cost @ value) or not entered:
             break
     kept = [(p, v) for p, v in zip(basis, value, strict=True) if p is not None and v > tiny]
     if not kept:

@@ -74,6 +74,20 @@ def test_packing(spark, hard, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_of_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    runs = [" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 1_000_000 + "b.", "é\n" + "\t\u3000" * 500_000 + "\n7 \n", (" " * 100_000 + "x") * 3, " " * 99_999 + "\x1f" + " " * 100_001 + "y"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(runs)), DOCS)).toPandas()
+    for k, text in enumerate(runs):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        own = got[got["doc_id"] == k]
+        assert own["length"].sum() == len(ids) and (own["doc_tokens"] == len(ids)).all()
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own.itertuples())
+
+
 def test_column_generation():
     lengths, counts = np.array([200, 300, 324, 500, 512, 524]), np.array([10, 7, 10, 10, 4, 3])
     patterns, uses = packing.column_generation(lengths, counts)
