@@ -5,9 +5,10 @@ and hidden or unseen elements are left out; where there is an article (or main)
 candidates of a host's pages are concatenated as token streams, with a sign between blocks, and sorted by suffix: a stretch of at
 least ``RUN`` tokens that occurs on enough distinct pages is boilerplate, and blocks that such stretches cover go. Outside
 articles ``LOOSE`` of the host's pages (3 at least) are enough; inside an article it takes ``STRICT`` of them (10 at least), since
-articles may be copied or quoted on many pages and are not to be cut.
+articles may be copied or quoted on many pages and are not to be cut. Pages whose candidates are equal are one page here, so
+copies and repeated rows are no evidence, and count once in the host's pages.
 
-A host's pages are dealt by a hash into shards of about ``shard_bytes`` of html, and of ``PAGES`` pages where those are larger, so
+A host's pages are dealt by a hash of their candidates into shards of about ``shard_bytes`` of html, and of ``PAGES`` pages where those are larger, so
 a host that holds a third of all pages is spread over many tasks. The decision is the host's: a stretch on a share of all pages is
 on that share of some shard's, so each shard hands on the counts of those on ``LOOSE`` of its own pages. Their sums and the most
 that the other shards may add settle most stretches; the rest are counted once more over the host's pages. Then every page
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import SPACED, materialize, span_hashes, text_chunks, word_spans
 
@@ -114,11 +116,18 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidate blocks of each host's pages, equal ones once in a task and all in one shard."""
+    seen = set()
     for batch in batches:
-        texts = ["\n".join(blocks(x)[0]) if x else "" for x in batch.column("html").to_pylist()]
-        shard = [_hash(f"{i} {u}") % n for i, u, n in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "n")), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("n"), pa.array(shard, pa.int64()), pa.array(texts, pa.string())], ["host", "n", "shard", "blocks"])
+        out = []
+        for host, n, x in zip(*(batch.column(c).to_pylist() for c in ("host", "n", "html")), strict=True):
+            text = "\n".join(blocks(x)[0]) if x else ""
+            content = _hash(f"{host}\n{text}")
+            if content not in seen:
+                seen.add(content)
+                out.append((host, n, content % n, text))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["host", "n", "shard", "blocks"])
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, least: int, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -183,10 +192,11 @@ def _least(share: float, pages: int) -> int:
 
 def _shard(t: pa.Table) -> pa.Table:
     """Stretches on LOOSE of the shard's pages with their numbers of pages, and how many more pages an unlisted one may have; a row without key has the pages of the shard."""
-    host, rows = t.column("host")[0].as_py(), t.num_rows
+    host, texts = t.column("host")[0].as_py(), t.column("blocks").combine_chunks().unique()
+    rows = len(texts)
     alone = t.column("n")[0].as_py() == 1
     least = max(3, _least(LOOSE, rows)) if alone else _least(LOOSE, rows)
-    tokens, page, _, _ = stream(t.column("blocks").combine_chunks())
+    tokens, page, _, _ = stream(texts)
     at, pages = repeated(tokens, page, least)
     keys = stretch_keys(tokens, at, np.full(len(at), _hash(host), np.int64))
     n = len(keys) + 1
@@ -219,14 +229,17 @@ def _parsed(batch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _recount(batch, keys: np.ndarray, kinds: np.ndarray):
-    """How many of these pages have each of the stretches."""
+    """Which of the stretches each different page of a host has."""
+    seen = set()
     for part in _slices(batch):
         texts, _, seeds = _parsed(part)
+        content = [_hash(f"{h}\n{x}") for h, x in zip(part.column("host").to_pylist(), texts.to_pylist(), strict=True)]
         tokens, rows, _, _ = stream(texts)
         at, i = _hits(tokens, rows, seeds, keys)
-        pair = np.unique(i * len(texts) + rows[at])
-        i, pages = np.unique(pair // len(texts), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[i], pa.int64()), pa.array(pages, pa.int64())], ["key", "pages"])
+        row, i = np.divmod(np.unique(rows[at] * len(keys) + i), max(1, len(keys)))
+        own = np.searchsorted(row, np.arange(len(content) + 1))
+        new = [k for k, c in enumerate(content) if own[k] < own[k + 1] and c not in seen and not seen.add(c)]
+        yield pa.RecordBatch.from_arrays([pa.array([content[k] for k in new], pa.int64()), pa.array([keys[i[own[k] : own[k + 1]]] for k in new], pa.list_(pa.int64()))], ["content", "keys"])
 
 
 def _clean(batch, keys: np.ndarray, kinds: np.ndarray):
@@ -261,10 +274,12 @@ def _with_stretches(rows: DataFrame, found: DataFrame, shards: DataFrame, run: C
 
         return rows.mapInArrow(mapped, schema)
 
+    empty = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema).empty_table()
+
     def grouped(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("key")
         got = list(run(left, right.column("key").to_numpy(), right.column("kind").to_numpy()))
-        return pa.Table.from_batches(got) if got else pa.table({x.split()[0]: pa.array([], pa.string() if x.endswith("string") else pa.int64()) for x in schema.split(", ")})
+        return pa.Table.from_batches(got) if got else empty
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("n")))
     spread = found.join(shards, F.col("host") == F.col("_host")).select("host", "key", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("shard"))
@@ -280,7 +295,7 @@ def _kind(pages, total):
 def stretches(rows: DataFrame, shards: DataFrame) -> DataFrame:
     """host, key and kind of every stretch that is boilerplate on its host."""
     few = F.broadcast if shards.count() <= BROADCAST else lambda x: x
-    parsed = rows.select("page_id", "url", "html", "host", "n").mapInArrow(_parse, "host string, n long, shard long, blocks string")
+    parsed = rows.select("html", "host", "n").mapInArrow(_contents, "host string, n long, shard long, blocks string")
     counts = materialize(parsed.groupBy("host", "shard").applyInArrow(_shard, "host string, key long, pages long, more long"), "stretches")
     totals = counts.where("key is null").groupBy(F.col("host").alias("_host")).agg(F.sum("pages").alias("total"), F.sum("more").alias("most"))
     listed = counts.where("key is not null").groupBy("host", "key").agg(F.sum("pages").alias("low"), F.sum("more").alias("less"))
@@ -291,7 +306,8 @@ def stretches(rows: DataFrame, shards: DataFrame) -> DataFrame:
     sure = judged.where("kind = high").select("host", "key", "kind")
     if open_.isEmpty():
         return sure
-    again = _with_stretches(rows.where("n > 1"), open_, shards, _recount, "key long, pages long").groupBy("key").agg(F.sum("pages").alias("pages"))
+    again = _with_stretches(rows.where("n > 1"), open_, shards, _recount, "content long, keys array<long>").groupBy("content").agg(F.first("keys").alias("keys"))
+    again = again.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("pages"))
     settled = open_.drop("kind").join(again, "key").select("host", "key", _kind(F.col("pages"), F.col("total")).alias("kind")).where("kind > 0")
     return sure.unionByName(materialize(settled, "settled"))
 

@@ -189,6 +189,21 @@ def test_extraction_of_large_pages(spark):
         assert got and all(r["text"].startswith("Story") for r in got)
 
 
+def test_extraction_of_copies(spark, monkeypatch):
+    def pages(host, tag, copies, others, shared=""):
+        text = [f"{shared}<p>A story of {host} that was copied whole, word for word, many times.</p>"] * copies + [f"{shared}<p>Own story {k} {' '.join(f'{host}{k}x{j}' for j in range(9))}</p>" for k in range(others)]
+        return [(f"http://{host}.example/{k}", f"<{tag}>{x}</{tag}>") for k, x in enumerate(text)]
+
+    line = "<p>This line of the house stands above every page that we print here.</p>"
+    rows = [*pages("a", "section", 3, 0), *pages("b", "section", 3, 5), *pages("c", "section", 30, 30), *pages("d", "article", 3, 5), *pages("e", "article", 30, 30), *pages("f", "article", 40, 2)]
+    rows += [*pages("g", "section", 30, 30, line), *pages("h", "article", 30, 30, line)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], PAGES).repartition(4)
+    for size in (40, 4):
+        monkeypatch.setattr(extract, "PAGES", size)
+        got = {r["page_id"]: r["text"] for r in extract.extract(frame, 100).collect()}
+        assert all(got[k] == re.sub("<[^>]*>", "", page.replace(line, "")) for k, (_, page) in enumerate(rows))
+
+
 def test_extraction_shards_agree(spark, monkeypatch):
     """Shards of a few pages, with stretches broadcast or dealt, decide as one shard of the whole host does."""
     rng = np.random.default_rng(3)
