@@ -25,6 +25,13 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "ssn", "tel", "person")
 KINDS = BASE + ADDED
 
+# A token of a secret, of any length, begins at the first letter or digit of a run of its signs, or where the match before it ended.
+# After more than 255 of + / - each place counts as such a begin: a later start adds no match, as a run of 20 signs matches from its
+# first one or lacks digits or letters throughout. Only hexadecimal ones in runs of under 20 may begin later.
+SIGN = "[A-Za-z0-9+/_-]"
+BEGIN = rf"(?:\G(?<=[A-Za-z0-9])(?={SIGN})|(?=[A-Za-z0-9_])(?:(?<!{SIGN})|(?<=[+/-])(?:(?<=(?<!{SIGN})[+/-]{{1,255}})|(?<=[+/-]{{256}}))))"
+MIXED = r"(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])"
+
 # Possessive forms match what the plain ones do and need no stack for long runs. A match begins where a run of its signs does, or
 # where the match before it ended: later starts in a run would fail as the first one did, and trying them takes a run's length squared.
 PATTERNS = {
@@ -32,7 +39,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"\b(?:AKIA[0-9A-Z]{12,24}|(?=[A-Za-z+/_-]{0,127}+[0-9])(?=[0-9+/_-]{0,127}+[A-Za-z])(?:[0-9a-fA-F]{16,128}|[A-Za-z0-9+/_-]{20,128}={0,2}))(?![A-Za-z0-9])",
+    "secret": rf"(?:\bAKIA[0-9A-Z]{{12,24}}|{BEGIN}{MIXED}(?:[0-9a-fA-F]{{16,}}+|{SIGN}{{20,}}+={{0,2}})|\b(?=[0-9a-fA-F]{{16}})(?!{SIGN}{{20}}){MIXED}[0-9a-fA-F]{{16,}}+)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9+.(-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "person": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.?\x20\p{Lu}\p{L}+(?:\x20\p{Lu}\p{L}+)?",

@@ -407,6 +407,23 @@ def test_personal_data_in_long_runs(spark):
     assert got[0]["spans"] == f"email:{long + 1}:{long + 6}" and got[3]["spans"].endswith(f"ip:{long}:{long + 7}")
 
 
+def test_secrets_of_any_length(spark):
+    rng = np.random.default_rng(5)
+    signs = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"))
+    sizes = [40, 128, 129, 164, 200, 342, 600, 5000]
+    tokens = ["k7" + "".join(rng.choice(signs[:k], n - 4)) + "Z9" for k in (62, 64) for n in sizes] + ["0a" * n for n in (64, 65, 300)] + ["X1z2" * 50 + "=="]
+    texts = [f"api key: {t} ends" for t in tokens] + [f"password {'-' * n}{tokens[3]}." for n in (1, 5, 255, 256, 400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    found = {r["doc_id"]: r["m"] for r in pii.candidates(rows).where(f"kind = {pii.KINDS.index('secret')}").collect()}
+    assert found == dict(enumerate(tokens + [tokens[3]] * 5))
+    assert not [r for r in pii.redact(rows).collect() if any(t in r["text"] for t in tokens)]
+    long = 400_000
+    hard = ["a-" * (long // 2), "1-" * (long // 2), ("a" * 16 + "-") * (long // 17), ("-" * 256 + "a") * (long // 257), "/" * long, "a1" * long]
+    began = time.time()
+    got = {r["doc_id"]: r["spans"] for r in pii.spans(spark.createDataFrame(list(enumerate(hard)), DOCS)).collect()}
+    assert time.time() - began < 60 and "secret" not in "".join(got[k] for k in range(5))
+
+
 def test_estimation():
     """Labelers that agree get trusted; a labeler at odds with them does not."""
     patterns = {(4, 1, 1, 0, 0, 1): 50, (4, -1, -1, 0, 0, -1): 50, (4, 1, 1, 0, 0, -1): 5, (4, -1, 0, 0, -1, 1): 5}
