@@ -26,3 +26,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_regression_of_short_passages(spark, tmp_path):
+    import duckdb
+
+    texts = ["one two three four five six sevenfold eight nine", "tiny text", "", None, "a b c d e f g h i j"]
+    passages = ["one two three four five six seven", "two three", "ne two thr", "tiny text", "", None, "text tiny", "a b c d e f g h", "b c d e f g h i j k", "c d e f g h i", "six sevenfold"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = rows(registry.chk_regression(spark, str(tmp_path)).toPandas())
+    assert got == rows(con.execute(ORACLE_SQL["chk_regression"]).df()) and sum("FAIL" in x for x in got) == 3
