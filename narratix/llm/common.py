@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -18,11 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and one machine runs all (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        import tempfile
-
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder where executors run elsewhere ({master})")
         top = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='narratix-')}"
         shared_dir.own = top
     return top.rstrip("/")
@@ -39,6 +42,30 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete the files of a table of ``materialize`` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined_apart(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "inner", hot: int = 20_000, parts: int = 64) -> DataFrame:
+    """left joined with right, which has one row for each key, where some keys may hold much of left.
+
+    counts: (key, n) of left. The keys with the most rows, 1,000 at most and of at least `hot` rows, are dealt over `parts` tasks,
+    right's row of such a key being repeated there; any other key has under a thousandth of the rows or under `hot`.
+    """
+    keys = [r[0] for r in counts.where(F.col("n") >= hot).orderBy(F.desc("n"), key).limit(1000).select(key).collect()]
+    if not keys:
+        return left.join(right, key, how)
+    kind = right.schema[key].dataType.simpleString()
+    many = F.col(key).isin(keys)
+    left = left.withColumn("_part", F.when(many, F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(0))
+    right = right.withColumn(key, F.col(key).cast(kind)).withColumn("_part", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
 def crc_mod(column: str, mod: int):
     """crc32 of the decimal text of an id, modulo mod; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod

@@ -6,16 +6,18 @@ program prices new patterns against its duals. Patterns are rounded down, fracti
 and the copies of a pattern are dealt to remainders by their rank within a length. Ranks are sums of counts over buckets
 of documents and places within a bucket, so a length that a third of all documents share is spread over many tasks.
 Remainders that no pattern took are laid end to end and cut where a sequence ends; the last stretch is cut at powers of two,
-so no sequence needs padding.
+so no sequence needs padding. Where no lengths add up to a sequence there are no patterns, and all remainders are cut so.
 
 The document's token ids come from the byte-level BPE vocabulary with its end id behind them. Null text counts as empty: one
 piece with the end id alone. Repeated rows are packed one by one. An empty table gives an empty result. Other columns are
-ignored. Equal ids in equal documents are interchangeable, so ties between them change nothing.
+ignored. Rows are told apart by their number in the written table of tokens, so equal rows are neither joined with each other
+nor kept in one task.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,31 +39,39 @@ SPACE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 RUNS = re.compile(rf"(?<!{SPACE}){SPACE}{{{WIDE},}}+")
 
 
-def encoder(path: str | None = None):
-    """The vocabulary of byte_bpe_50k.json; its rank file gives the same ids several times as fast."""
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """The strings that the vocabulary's JSON lists as tokens of their own."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
+def encoder(path: str | None = None, added: dict[str, int] | None = None):
+    """The vocabulary of byte_bpe_50k.json; its rank file gives the same ids several times as fast. added: tokens of their own."""
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
 
 
 def token_ids(vocabulary, text: str) -> np.ndarray:
     """The ids of a text. A long run of white space is one piece, but for its last sign where text follows, and is merged without the expression."""
     if len(text) < WIDE:
-        return vocabulary.encode_to_numpy(text, disallowed_special=())
-    out, lo = [], 0
+        return vocabulary.encode_to_numpy(text, allowed_special="all")
+    out, lo, added = [], 0, tuple(vocabulary.special_tokens_set)
     for m in RUNS.finditer(text):
-        hi = m.end() - (m.end() < len(text))
-        out += [vocabulary.encode_to_numpy(text[lo : m.start()], disallowed_special=()), np.array(vocabulary._encode_single_piece(text[m.start() : hi]), np.uint32)]
+        hi = m.end() - (m.end() < len(text) and not text.startswith(added, m.end()))
+        out += [vocabulary.encode_to_numpy(text[lo : m.start()], allowed_special="all"), np.array(vocabulary._encode_single_piece(text[m.start() : hi]), np.uint32)]
         lo = hi
-    return np.concatenate([*out, vocabulary.encode_to_numpy(text[lo:], disallowed_special=())])
+    return np.concatenate([*out, vocabulary.encode_to_numpy(text[lo:], allowed_special="all")])
 
 
-def _tokens(size: int, path: str | None):
+def _tokens(size: int, path: str | None, added: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = encoder(path)
+        vocabulary = encoder(path, added)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
@@ -143,7 +153,7 @@ def column_generation(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE,
                 break
             dual = cost @ inverse
         dual = np.maximum(dual, 0)
-        smooth = 0.7
+        smooth, entered = 0.7, 0
         while True:
             point = smooth * center + (1 - smooth) * dual
             best, item = price(point, lengths, size)
@@ -259,17 +269,19 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 def _placed(plan):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p: Plan = plan.value
-        for f in frames:
-            length, n = f["rest_tokens"].to_numpy(np.int64), f["doc_tokens"].to_numpy(np.int64)
-            sequence, offset = p.place(length, f["rank"].to_numpy(np.int64))
-            rows = []
-            for doc, crc, rest, r, total, s, o, first in zip(f["doc_id"], f["full_crc"], f["rest_crc"], length.tolist(), n.tolist(), sequence.tolist(), offset.tolist(), f["full_before"].tolist(), strict=True):
-                rows += [(doc, k * p.size, p.size, int(c), total, first + k, 0, rest) for k, c in enumerate(crc)]
-                pieces = [(0, r, s, o)] if s >= 0 else p.cut(o, r)
-                rows += [(doc, total - r + a, x, int(rest) if x == r else None, total, q, b, rest) for a, x, q, b in pieces]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "rest_crc"])
-            out["ids_crc32"] = out["ids_crc32"].astype("Int64")
-            yield out
+        for whole in frames:
+            for lo in range(0, len(whole), 2000):
+                f = whole.iloc[lo : lo + 2000]
+                length, n = f["rest_tokens"].to_numpy(np.int64), f["doc_tokens"].to_numpy(np.int64)
+                sequence, offset = p.place(length, f["rank"].to_numpy(np.int64))
+                rows = []
+                for row, doc, crc, rest, r, total, s, o, first in zip(f["row"].tolist(), f["doc_id"], f["full_crc"], f["rest_crc"], length.tolist(), n.tolist(), sequence.tolist(), offset.tolist(), f["full_before"].tolist(), strict=True):
+                    rows += [(row, doc, k * p.size, p.size, int(c), total, first + k, 0) for k, c in enumerate(crc)]
+                    pieces = [(0, r, s, o)] if s >= 0 else p.cut(o, r)
+                    rows += [(row, doc, total - r + a, x, int(rest) if x == r else None, total, q, b) for a, x, q, b in pieces]
+                out = pd.DataFrame(rows, columns=["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                out["ids_crc32"] = out["ids_crc32"].astype("Int64")
+                yield out
 
     return run
 
@@ -285,14 +297,19 @@ def _cut_crc(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.assign(ids_crc32=np.array(crc, dtype=np.int64))[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
 
-def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. tokenizer: path of a rank file."""
+def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    tokenizer: path of a rank file. added: strings that are tokens of their own, those of byte_bpe_50k.json if not given ({}: none).
+    """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tokens = docs.select("doc_id", "text").mapInArrow(_tokens(size, tokenizer), f"doc_id {kind}, doc_tokens long, full_crc array<long>, rest_crc long, rest binary")
-    tokens = materialize(tokens, "tokens").withColumn("rest_tokens", F.col("doc_tokens") % size)
+    added = added_tokens() if added is None else added
+    tokens = docs.select("doc_id", "text").mapInArrow(_tokens(size, tokenizer, added), f"doc_id {kind}, doc_tokens long, full_crc array<long>, rest_crc long, rest binary")
+    # rows are numbered as they are written, so equal rows are told apart and dealt apart
+    tokens = materialize(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens").withColumn("rest_tokens", F.col("doc_tokens") % size)
     buckets = max(1, -(-tokens.count() // BUCKET))
-    light = tokens.drop("rest").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "rest_crc", "doc_tokens"), F.lit(buckets)))
+    light = tokens.drop("rest").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     full = F.sum(F.size("full_crc").cast("long"))
     counts = materialize(light.groupBy("bucket", "rest_tokens").agg(F.count(F.lit(1)).alias("n"), full.alias("f")), "lengths")
     # at most `size` rows
@@ -304,18 +321,15 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> Dat
     starts = counts.select(
         F.col("bucket").alias("_b"), F.col("rest_tokens").alias("_r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), (F.coalesce(F.sum("f").over(before), F.lit(0)) + base[F.col("rest_tokens")]).alias("f0")
     )
-    own = Window.partitionBy("bucket", "rest_tokens").orderBy("doc_id", "rest_crc", "doc_tokens")
+    own = Window.partitionBy("bucket", "rest_tokens").orderBy("row")
     ranked = light.join(starts, (F.col("bucket") == F.col("_b")) & (F.col("rest_tokens") == F.col("_r")))
     ranked = ranked.withColumn("rank", F.col("n0") + F.row_number().over(own) - 1)
     ranked = ranked.withColumn("full_before", F.col("f0") + F.coalesce(F.sum(F.size("full_crc").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ranked.select("doc_id", "doc_tokens", "rest_tokens", "full_crc", "rest_crc", "rank", "full_before")
-    placed = materialize(ranked.mapInPandas(_placed(plan), f"doc_id {kind}, {PIECES}, rest_crc long"), "pieces")
-    cut = placed.where("ids_crc32 is null")
-    rests = tokens.select(F.col("doc_id").alias("_id"), F.col("rest_crc").alias("_crc"), F.col("doc_tokens").alias("_n"), "rest", "rest_tokens").where("rest_tokens > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rest_crc") == F.col("_crc")) & (F.col("doc_tokens") == F.col("_n"))
+    ranked = ranked.select("row", "doc_id", "doc_tokens", "rest_tokens", "full_crc", "rest_crc", "rank", "full_before")
+    placed = materialize(ranked.mapInPandas(_placed(plan), f"row long, doc_id {kind}, {PIECES}"), "pieces")
+    cut = placed.where("ids_crc32 is null").drop("ids_crc32", "doc_id", "doc_tokens")
     if cut.count() <= BROADCAST:
         cut = F.broadcast(cut)
-    # equal rows give equal ids, so any of them will do
-    filled = rests.join(cut, same).groupBy("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "rest_tokens").agg(F.first("rest").alias("rest"))
-    filled = filled.mapInPandas(_cut_crc, f"doc_id {kind}, {PIECES}")
-    return placed.where("ids_crc32 is not null").drop("rest_crc").unionByName(filled)
+    rests = tokens.where("rest_tokens > 0").select("row", "doc_id", "doc_tokens", "rest", "rest_tokens")
+    filled = rests.join(cut, "row").mapInPandas(_cut_crc, f"doc_id {kind}, {PIECES}")
+    return placed.where("ids_crc32 is not null").drop("row").unionByName(filled)
