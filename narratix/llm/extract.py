@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SPACED, materialize, span_hashes, text_chunks, word_spans
+from .common import SPACED, joined_apart, materialize, span_hashes, text_chunks, word_spans
 
 RUN, LOOSE, STRICT, COVER = 8, 0.1, 0.5, 0.8
 #: The most hosts whose names and sizes (about 50 bytes each) are broadcast; more are joined by a shuffle.
@@ -58,6 +58,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
     found: list[tuple[str, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements: tag, left out
+    depth: dict[str, int] = {}  # open elements of each tag
     out, scope, seen_scope = 0, 0, False
 
     def flush() -> None:
@@ -70,6 +71,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
     def close() -> None:
         nonlocal out, scope
         tag, left = stack.pop()
+        depth[tag] -= 1
         out -= left
         scope -= tag in SCOPE and not out
 
@@ -88,7 +90,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
         elif tag in ("br", "td", "th", "wbr") and parts:
             parts.append(" ")
         if m[2]:
-            if any(t == tag for t, _ in stack):
+            if depth.get(tag):
                 while stack[-1][0] != tag:
                     close()
                 close()
@@ -106,6 +108,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
                 scope += 1
                 seen_scope = True
             stack.append((tag, left))
+            depth[tag] = depth.get(tag, 0) + 1
             out += left
     flush()
     inside = [t for t, s in found if s]
@@ -316,8 +319,11 @@ def extract(pages: DataFrame, shard_bytes: int = 400_000) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"))
     sizes = rows.groupBy(F.col("host").alias("_host")).agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("size"), F.count("*").alias("pages"))
-    shards = materialize(sizes.select("_host", F.least(F.ceil((F.col("size") + 1) / F.lit(shard_bytes)), F.ceil(F.col("pages") / F.lit(PAGES))).alias("n")), "hosts")
-    dealt = rows.join(F.broadcast(shards) if shards.count() <= BROADCAST else shards, F.col("host") == F.col("_host")).drop("_host")
+    shards = materialize(sizes.select("_host", "pages", F.least(F.ceil((F.col("size") + 1) / F.lit(shard_bytes)), F.ceil(F.col("pages") / F.lit(PAGES))).alias("n")), "hosts")
+    # hosts of one shard need no join; the others are few, or dealt apart
+    several = shards.where("n > 1").select(F.col("_host").alias("host"), "n", "pages")
+    dealt = rows.join(F.broadcast(several.drop("pages")), "host", "left") if several.count() <= BROADCAST else joined_apart(rows, several.drop("pages"), "host", several.select("host", F.col("pages").alias("n")), "left")
+    dealt = dealt.select("page_id", "url", "html", "host", F.coalesce("n", F.lit(1).cast("long")).alias("n"))
     kind = pages.schema["page_id"].dataType.simpleString()
     out = _with_stretches(dealt, stretches(dealt, shards), shards, _clean, f"page_id {kind}, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
