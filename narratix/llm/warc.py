@@ -6,7 +6,7 @@ the largest page_id is a response record and the others revisit it. ``read`` sor
 joins ranges with small gaps between them and reads each such block at once.
 
 The choice of response is made on digests alone, so a payload that a third of all pages share is counted before it is
-shuffled; payloads are shuffled by page. Null html is an empty payload, a null url leaves out the target header, null page
+shuffled and its pages are dealt over several tasks; payloads are shuffled by page. Null html is an empty payload, a null url leaves out the target header, null page
 ids are responses. Rows repeated whole have the same page_id: each becomes a record, and all those of the largest id are
 responses. Files of lost or repeated tasks are not in the index and so are never read. Other columns are ignored.
 """
@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import joined_apart, materialize, new_path
 
 DATE = "1970-01-01T00:00:00Z"
 
@@ -119,8 +119,8 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, file_byte
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("sha1", F.sha1("html"))
     ids = rows.where(F.length("html") >= least).select("page_id", "sha1")
-    kept = ids.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisits = ids.join(kept, "sha1").where("page_id <> refers_to").distinct()
+    kept = materialize(ids.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-equal")
+    revisits = joined_apart(ids, kept.drop("n"), "sha1", kept.select("sha1", "n")).where("page_id <> refers_to").select("page_id", "sha1", "refers_to").distinct()
     return materialize(rows.join(revisits, ["page_id", "sha1"], "left").select("page_id", "url", "html", "refers_to").mapInArrow(_write(folder, file_bytes, level, date), INDEX), "warc-index")
 
 
