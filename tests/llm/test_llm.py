@@ -53,7 +53,7 @@ def test_packing(spark, hard, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    hard = hard.unionByName(spark.createDataFrame([(10**6 + 9, "a <|endoftext|> b<|endoftext|>")], DOCS), allowMissingColumns=True)
     rows = hard.select("doc_id", "text").collect()
     ids = {(r["doc_id"], r["text"]): np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4") for r in rows}
     got = packing.pack(hard).toPandas()
@@ -79,7 +79,7 @@ def test_packing_of_long_white_space(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    runs = [" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 1_000_000 + "b.", "é\n" + "\t\u3000" * 500_000 + "\n7 \n", (" " * 100_000 + "x") * 3, " " * 99_999 + "\x1f" + " " * 100_001 + "y"]
+    runs = [" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 1_000_000 + "b.", "é\n" + "\t\u3000" * 500_000 + "\n7 \n", (" " * 100_000 + "x") * 3, " " * 99_999 + "\x1f" + " " * 100_001 + "y", " " * 100_001 + "<|endoftext|>" + "\n" * 100_002 + "x"]
     got = packing.pack(spark.createDataFrame(list(enumerate(runs)), DOCS)).toPandas()
     for k, text in enumerate(runs):
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
@@ -88,6 +88,32 @@ def test_packing_of_long_white_space(spark):
         assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own.itertuples())
 
 
+def whole(pieces, documents, size=1024):
+    """Every id in one piece, every sequence gapless and full, but for powers of two."""
+    assert pieces.groupby("sequence_id")["length"].sum().map(lambda n: n == size or n & (n - 1) == 0).all()
+    pieces = pieces.sort_values(["sequence_id", "offset"])
+    assert (pieces.groupby("sequence_id")["length"].cumsum() - pieces["length"] == pieces["offset"]).all()
+    assert pieces["length"].sum() == pieces[pieces["start"] == 0]["doc_tokens"].sum() and (pieces["start"] == 0).sum() == documents
+
+
+@pytest.mark.parametrize("counts", [{5: 1}, {512: 3}, {700: 5000}, {1023: 3000, 900: 2000}, {500: 10, 524: 10}, {1: 5}, {512: 1}, {}])
+def test_plans_without_exact_patterns(counts):
+    """Lengths that add up to no sequence, or that their pairs fill already."""
+    plan = packing.Plan(counts, 0)
+    taken = {x: int(plan.taken[x]) for x in counts}
+    assert all(0 <= taken[x] <= n for x, n in counts.items()) and plan.next * 1024 == sum(x * n for x, n in taken.items())
+    sequence, offset = plan.place(np.array([x for x, n in counts.items() for _ in range(n)], np.int64), np.array([k for n in counts.values() for k in range(n)], np.int64))
+    assert (sequence >= 0).sum() == sum(taken.values()) and plan.tail[-1] == sum(x * (n - taken[x]) for x, n in counts.items())
+
+
+@pytest.mark.parametrize("texts", [["alpha beta gamma delta"], [""], [None], ["word " * 511], ["word " * 700] * 30, ["a"] * 20_000 + ["b c"]])
+def test_packing_small_and_equal(spark, texts):
+    """One document, tables whose lengths fill nothing, and one row repeated very often (the same id, too)."""
+    began = time.time()
+    whole(packing.pack(spark.createDataFrame([(7, t) for t in texts], DOCS).repartition(4)).toPandas(), len(texts))
+    assert time.time() - began < 60
+
+
 def test_column_generation():
     lengths, counts = np.array([200, 300, 324, 500, 512, 524]), np.array([10, 7, 10, 10, 4, 3])
     patterns, uses = packing.column_generation(lengths, counts)
@@ -122,6 +148,27 @@ def brute_components(prints):
     return {i: find(i) for i in ids}
 
 
+def test_repeated_rows_are_one(spark):
+    """Rows with one id and text: the least in the other columns stays, whatever the order of rows."""
+    rows = [(3, "same text here", lang, None) for lang in ("b", "a", "c", None)] * 50 + [(None, "same text here", "z", 1)] * 9 + [(9, "other words are these", "a", 2)] * 30
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, n int")
+    got = [sorted(map(tuple, simhash.deduplicate(frame.orderBy(F.rand(k)).repartition(3)).collect())) for k in range(2)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [3, 9]
+
+
+def test_hot_nodes_are_dealt_apart(spark):
+    """A star of a node with more links than one task should take, and a join with hot keys."""
+    from narratix.llm import common
+
+    edges = spark.range(1, 30_001).selectExpr("0L as a", "id as b")
+    got = simhash.components(edges)
+    assert got.count() == 30_001 and got.where("root <> 0").count() == 0
+    left = spark.range(40_000).selectExpr("if(id % 3 > 0, 5, id) as k", "id")
+    right = spark.range(40_000).selectExpr("id as k", "id * 2 as v")
+    out = common.joined_apart(left, right, "k", left.groupBy("k").agg(F.count("*").alias("n")), "left", 1000)
+    assert out.count() == 40_000 and out.where("v <> k * 2 or v is null").count() == 0
+
+
 @pytest.mark.parametrize("hot", [64, 1])
 def test_simhash(hard, empty, hot):
     rows = {r["doc_id"]: r["text"] for r in hard.collect() if r["doc_id"] is not None}
@@ -135,6 +182,26 @@ def test_simhash(hard, empty, hot):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
+def test_tally(spark):
+    """Pairs that share six positional bytes are retained, whatever the bits; those of fewer are not."""
+    rng = np.random.default_rng(2)
+    fps = set()
+    for _ in range(60):
+        x = rng.integers(0, 256, 8, dtype=np.uint8)
+        fps.add(int(x.view(np.int64)[0]))
+        for n in (1, 2, 2, 3, 4):
+            y = x.copy()
+            y[rng.choice(8, n, replace=False)] ^= rng.integers(1, 256, n, dtype=np.uint8)
+            fps.add(int(y.view(np.int64)[0]))
+    fps = sorted(fps)
+    members = simhash._listed(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    got = {tuple(r) for r in simhash.tallied(members).collect()}
+    b = np.array(fps).view(np.uint8).reshape(-1, 8)
+    same = {(fps[i], fps[j]) for i in range(len(fps)) for j in np.flatnonzero((b == b[i]).sum(1) >= 6) if i < j}
+    near = {(x, y) for x, y in same if (x ^ y).bit_count() <= 2}
+    assert got <= same and near <= got
+
+
 def test_simhash_chains(spark):
     """Links over a near-copied group with chains and lists of all sizes."""
     rng = np.random.default_rng(1)
@@ -147,6 +214,9 @@ def test_simhash_chains(spark):
             fps.add(x)
     fps = sorted(fps)
     want = brute_components({k: x for k, x in enumerate(fps)})
+    dense = sorted({int(base[0]) ^ (int(k) << 8) for k in rng.integers(0, 1 << 16, 400)})
+    fps = sorted({*fps, *dense})
+    want = brute_components({k: x for k, x in enumerate(fps)})
     for hot in (2, 64, 1000):
         got = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), hot)).collect()}
         assert {x: got.get(x, x) for x in fps} == {x: fps[want[k]] for k, x in enumerate(fps)}
