@@ -356,6 +356,25 @@ def test_decontamination(spark, sf, hard, empty):
     assert not decontam.contamination(hard, items.limit(0)).where("contaminated or n_hit > 0").count()
 
 
+def test_many_blocks_and_shared_prompts(spark, sf):
+    """200 blocks, and a prompt that 10,000 items and many documents share, give what brute force does."""
+    rng = np.random.default_rng(8)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    size = sum(len(r["text"].encode()) for r in items.collect())
+    want = brute_windows([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
+    got = decontam.contamination(docs, items, block_bytes=max(1, size // 200))
+    assert sorted((tuple(r)[:6] for r in got.collect()), key=str) == want
+    prompt = "Read the text below and say which of its five words of the house stands last of all"
+    data = [(k, f"{prompt} q{k} r{k} {' '.join(f'w{x}' for x in rng.integers(0, 50, 3))}") for k in range(10_000)]
+    texts = [(k, f"own {k} {prompt} {' '.join(f'w{x}' for x in rng.integers(0, 50, 5))} {prompt if k % 3 else ''} q{k} r{k}") for k in range(400)] + [(900, "nothing here")]
+    began = time.time()
+    for size in (8_000_000, 400_000):
+        got = decontam.contamination(spark.createDataFrame(texts, DOCS), spark.createDataFrame(data, "item_id long, text string"), block_bytes=size).collect()
+        assert sorted((tuple(r)[:6] for r in got), key=str) == brute_windows(texts, data)
+    assert time.time() - began < 240
+
+
 def test_longest_matches(spark):
     rng = np.random.default_rng(3)
     text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 4, n))
