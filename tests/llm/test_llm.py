@@ -418,6 +418,34 @@ def test_neighbours(spark, sf):
     assert ann.search(rows.limit(0), rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most_lists", [4096, 64])
+def test_neighbours_of_many(spark, most_lists):
+    """60,000 vectors in uneven clusters with uneven norms: recall, the share of the table that a query reads, and the size of lists."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    n, centres = 60_000, rng.normal(size=(500, 64))
+    group = np.where(rng.random(n) < 0.3, 0, rng.integers(0, 500, n))
+    x = ((centres[group] + 0.35 * rng.normal(size=(n, 64))) * rng.uniform(0.5, 2, (n, 1))).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x.tolist())}), "vec_id long, embedding array<float>")
+    asked = rows.where("vec_id % 200 = 0")
+    got: dict = {}
+    for r in ann.search(rows, asked, most_lists=most_lists).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x = x.astype(float)
+    hits = 0
+    for q in range(0, n, 200):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert len(got) == n // 200 and hits >= 0.9 * 20 * len(got)
+    index = ann.indexed(rows, asked, most_lists=most_lists)
+    probes = index.probes(index.alike.where("asked > 0").select("rep", "embedding"), 0.2, 200)
+    read = probes.join(index.counts, "list").agg(F.sum("n")).first()[0] / len(got)
+    assert read < 0.25 * n and index.levels and index.counts.agg(F.max("n")).first()[0] <= 512
+    assert index.members.select("rep").distinct().count() == index.vectors
+
+
 def test_centroid_graph():
     rng = np.random.default_rng(0)
     c = rng.normal(size=(800, 16)).astype(np.float32)
