@@ -1,8 +1,9 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
 Every byte of every text is labelled, in windows of ``WINDOW`` bytes that tile the text; the document's language is that with
-the largest mean of log-probabilities over its positions, its score the softmax of those means. The network is trained in numpy by
-backpropagation through time on windows from a bounded sample: ``sample`` training documents, ``per_doc`` windows of each.
+the largest mean of log-probabilities over its positions, its score the softmax of those means; they are summed window by window. The
+network is trained in numpy by backpropagation through time on windows from a bounded sample: ``sample`` training documents, an equal
+share for each language (``least`` at least), ``per_doc`` windows of each.
 
 A null text or one without a letter is `und` with score 0, and so is every text when nothing can be learned. Texts are
 scored row by row, so repeated rows repeat; an empty table gives an empty result. Ties go to the first language by name. Other
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gru
@@ -64,38 +65,45 @@ class Model:
                 g |= {side + "w": gru.summed(steps, dg, 256), side + "u": du, side + "b": dg.sum((0, 1)), side + "bn": dbn}
             adam.step(self.p, g)
 
-    def positions(self, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, batch: int = 4096) -> np.ndarray:
-        """Log-probabilities (bytes, languages) of every position covered by the windows."""
-        out = np.zeros((len(buf), len(self.languages)), np.float32)
+    def labelled(self, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cells: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows by number, log-probabilities (places, windows, languages) of their positions, and which places are theirs; about `cells` numbers at once."""
         order = np.argsort(-sizes, kind="stable")
         tables = {s: self.part(s)["w"] + self.part(s)["b"] for s in "fb"}
+        batch = max(16, cells // (WINDOW * max(HIDDEN, len(self.languages))))
         for lo in range(0, len(order), batch):
             own = order[lo : lo + batch]
             s, n = starts[own], sizes[own]
             k = np.arange(int(n.max()))[:, None]
             valid = k < n
-            ahead = np.where(valid, s + k, s)
-            back = np.where(valid, s + n - 1 - k, s)
-            for side, place in (("f", ahead), ("b", back)):
-                h = gru.states(tables[side], buf[place], self.part(side))
-                v = h @ self.p["v" + side]
-                if valid.all():
-                    out[place.reshape(-1)] += v.reshape(-1, v.shape[2])
-                else:
-                    out[place[valid]] += v[valid]
-        out += self.p["c"]
-        out -= out.max(1, keepdims=True)
-        out -= np.log(np.exp(out).sum(1, keepdims=True))
-        return out
+            ahead = gru.states(tables["f"], buf[np.where(valid, s + k, s)], self.part("f"))
+            back = gru.states(tables["b"], buf[np.where(valid, s + n - 1 - k, s)], self.part("b"))
+            back = back[np.where(valid, n - 1 - k, 0), np.arange(len(own))]
+            out = ahead @ self.p["vf"] + back @ self.p["vb"] + self.p["c"]
+            out -= out.max(2, keepdims=True)
+            out -= np.log(np.exp(out).sum(2, keepdims=True))
+            yield own, out, valid
+
+    def positions(self, text: str) -> list[str]:
+        """The language of every byte of a text."""
+        buf = np.frombuffer(text.encode(), np.uint8)
+        starts, sizes = windows(np.array([len(buf)]), np.array([0]), WINDOW)
+        best = np.zeros(len(buf), np.int64)
+        for own, out, valid in self.labelled(buf, starts, sizes):
+            k, w = np.nonzero(valid)
+            best[starts[own[w]] + k] = out.argmax(2)[k, w]
+        return [self.languages[k] for k in best]
 
     def documents(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probabilities (rows, languages), pooled over all positions of each row; empty rows are uniform."""
         sizes = np.diff(offsets)
-        logp = self.positions(buf, *windows(sizes, offsets[:-1], WINDOW))
+        starts, width = windows(sizes, offsets[:-1], WINDOW)
+        sums = np.zeros((len(starts), len(self.languages)))
+        for own, out, valid in self.labelled(buf, starts, width):
+            sums[own] = np.where(valid[:, :, None], out, 0).sum(0, dtype=np.float64)
         full = np.flatnonzero(sizes)
         mean = np.zeros((len(sizes), len(self.languages)))
         if len(full):
-            mean[full] = np.add.reduceat(logp, offsets[:-1][full], axis=0, dtype=np.float64) / sizes[full, None]
+            mean[full] = np.add.reduceat(sums, np.searchsorted(starts, offsets[:-1][full]), axis=0) / sizes[full, None]
         e = np.exp(mean - mean.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
@@ -113,11 +121,20 @@ def _cut(per_doc: int):
     return run
 
 
-def fit(docs: DataFrame, mod: int = 5, sample: int = 3000, per_doc: int = 6) -> Model:
-    """Learn from documents whose crc32(doc_id) mod `mod` is not 0, `sample` of them at most, per_doc windows of each."""
+def fit(docs: DataFrame, mod: int = 5, sample: int = 3000, least: int = 50, per_doc: int = 6) -> Model:
+    """Learn from documents whose crc32(doc_id) mod `mod` is not 0, per_doc windows of each.
+
+    Languages are counted over all of them, and each gets an equal share of `sample` documents, but `least` or all that it has, so
+    a rare language is learned too.
+    """
     own = docs.where((crc_mod("doc_id", mod) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    share = sample_share(own.select("doc_id").count(), sample)
-    drawn = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).limit(sample).select("lang", "text")
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    each = max(least, sample // max(1, len(counts)))
+    shares = docs.sparkSession.createDataFrame([(k, sample_share(n, each)) for k, n in sorted(counts.items())], "lang string, share long")
+    drawn = own.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.col("share")) == 0)
+    # copies of one text can be drawn together: of each language no more than its share comes back
+    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
+    drawn = drawn.withColumn("place", F.row_number().over(place)).where(F.col("place") <= each).select("lang", "text")
     got = drawn.mapInPandas(_cut(per_doc), "lang string, data binary").toPandas()
     got = got.sort_values(["lang", "data"], kind="stable")
     languages = sorted(got["lang"].unique())
