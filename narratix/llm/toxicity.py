@@ -6,7 +6,7 @@ its character n-grams, so unseen forms of a word are read by their letters. Atte
 document's score is that of its worst window, through a logistic curve fitted to the training documents.
 
 The network is trained in numpy by backpropagation through time on a bounded sample: ``sample`` labelled training documents of at
-most ``LONGEST`` words each (longer ones are left out of training, never cut). Of each document the window held worst so far is
+most ``LONGEST`` words and ``BYTES`` bytes each (so 200 MB at most; longer ones are left out of training, never cut). Of each document the window held worst so far is
 trained on, and of clean ones another at random. Vectors start from the log-odds of their word or n-gram in the sample.
 
 Null, empty and wordless texts are read as one window without words and get its score. Without labels of both kinds the score
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import gru
 from .common import ALNUM, LOWER, crc_mod, ranges, sample_share, span_hashes, text_chunks, word_spans
 
-WINDOW, STEP, HIDDEN, LONGEST = 32, 16, 8, 4000
+WINDOW, STEP, HIDDEN, LONGEST, BYTES = 32, 16, 8, 4000, 32_768
 WORDS, GRAMS, WORD_DIM, GRAM_DIM = 4096, 1 << 15, 6, 6
 
 
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, sample: int = 6000) ->
     known = labels.where((crc_mod("doc_id", mod) != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = sample_share(known.count(), sample)
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0
-    texts = docs.where((crc_mod("doc_id", mod) != 0) & pick & (F.size(F.split(F.coalesce("text", F.lit("")), r"\s+", LONGEST + 1)) <= LONGEST)).select("doc_id", "text")
+    texts = docs.where((crc_mod("doc_id", mod) != 0) & pick & (F.coalesce(F.octet_length("text"), F.lit(0)) <= BYTES) & (F.size(F.split(F.coalesce("text", F.lit("")), r"\s+", LONGEST + 1)) <= LONGEST)).select("doc_id", "text")
     got = texts.join(known.where(pick), "doc_id").limit(sample).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("double").alias("toxic"))
     got = got.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return trained(got.column("text").combine_chunks(), got.column("toxic").to_numpy())
