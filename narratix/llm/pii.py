@@ -50,12 +50,20 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 # Fixed word lists of the labelers.
 FOR = {
-    "secret": r"(?i)(?:password|passwd|pwd|token|secret|api[ _-]?key|access[ _-]?key|key|credential|bearer)\W{0,6}$",
-    "ssn": r"(?i)(?:ssn|social security|sozialversicherung|seguridad social)\W{0,12}(?:number|no|nr)?\W{0,4}$",
-    "tel": r"(?i)(?:phone|tel|call|mobile|cell|fax|telefon|téléphone|teléfono)\w*\W{0,6}$",
+    "secret": r"(?i)(?:password|passwd|pwd|token|secret|api[ _-]?key|access[ _-]?key|key|credential|bearer)(?:\W{1,3}(?:is|was|ist|es|est))?\W{0,6}$",
+    "ssn": r"(?i)(?:ssn|social security|sozialversicherung|seguridad social)\W{0,12}(?:number|no|nr)?(?:\W{1,3}(?:is|was|ist|es|est))?\W{0,4}$",
+    "tel": r"(?i)(?:phone|tel|call|mobile|cell|fax|telefon|téléphone|teléfono)\w*(?:\W{1,3}(?:is|was|ist|es|est))?\W{0,6}$",
     "person": r"(?i)(?:name|from|by|dear|contact|sincerely|regards|signed|von|par|por)\W{1,3}$",
 }
 AGAINST = r"(?i)(?:version|license|licence|page|figure|fig|table|chapter|section|isbn|issn|commit|sha1|sha256|md5|checksum|digest|revision|uuid)\W{0,4}$"
+#: Given names that are common in the languages of the texts.
+GIVEN = (
+    "Adam Alice Amy Ana Andrea Andrew Anna Anne Antonio Barbara Ben Bernard Betty Brian Carl Carlos Carmen Carol Catherine Charles Charlotte Chloe Christian Christine Claire Claudia Daniel David Diana Diego "
+    "Dorothy Edward Elena Elizabeth Emily Emma Eric Eva Felix Fernando Frank François Frances George Greta Hans Helen Helena Henri Henry Hugo Ines Isabel Jack Jacques James Jan Jane Janet Javier Jean Jennifer "
+    "Jessica Joan John Jorge José Joseph Juan Julia Julie Karen Karl Katharina Kevin Klaus Laura Laurent Linda Lisa Louis Louise Lucas Lucía Luis Manuel Marco Margaret Maria María Marie Mark Martin Mary Matthew "
+    "Max Michael Michel Miguel Nancy Nicolas Nicole Oliver Olivia Pablo Patricia Patrick Paul Paula Peter Petra Philippe Pierre Rachel Richard Robert Rosa Ruth Sabine Samuel Sandra Sara Sarah Sebastian Sofia Sophie "
+    "Stefan Stephen Steven Susan Thomas Ursula Victor Werner William Wolfgang"
+).split()
 PUBLIC = r"(?i)\x20(?:president|minister|king|queen|pope|saint|watson|strangelove|who|jekyll)\b"
 
 
@@ -73,7 +81,7 @@ def votes(kind: str, context: Column, m: Column) -> list[Column]:
     vote = lambda yes, no=None: F.when(yes, 1).when(no if no is not None else F.lit(False), -1).otherwise(0)
     if kind == "secret":
         strict = vote(m.rlike(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-.+|sk-.+)$"))
-        gazetteer = vote(m.rlike("^(?:AKIA|gh[pousr]_|sk-|xox)"))
+        gazetteer = vote(m.rlike("^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|sk_|pk_|rk_|xox|AIza|ya29|eyJ|npm_|pypi-|SG)"), m.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-"))
         shape = vote(m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.length(m) >= 16), ~m.rlike("[0-9]") | ~m.rlike("[A-Za-z]") | m.rlike("^[A-Za-z]+(?:[/_-][A-Za-z0-9]+)+$"))
     elif kind == "ssn":
         strict = vote(~m.rlike("^(?:000|666|9)|-00-|-0000$"), m.rlike("^(?:000|666|9)|-00-|-0000$"))
@@ -85,7 +93,7 @@ def votes(kind: str, context: Column, m: Column) -> list[Column]:
         shape = vote(m.rlike(r"^\([0-9]{3}\)|-.*-"), m.rlike(r"^[0-9]{3}\x20[0-9]{3}\x20"))
     else:
         strict = vote(m.rlike(r"^\p{L}+\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?$"), m.rlike(r"\x20\p{Lu}{2,}"))
-        gazetteer = vote(F.lit(False), m.rlike(PUBLIC))
+        gazetteer = vote(F.split(m, " ")[1].isin(GIVEN) & (F.size(F.split(m, " ")) > 2), m.rlike(PUBLIC))
         shape = vote(m.rlike(r"\x20\S+\x20"))
     return [strict, gazetteer, vote(context.rlike(FOR[kind])), vote(F.lit(False), context.rlike(AGAINST)), shape]
 
