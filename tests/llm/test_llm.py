@@ -565,10 +565,50 @@ def test_language_model(monkeypatch, hard, empty, frequent):
 
 
 def test_language_model_is_normalised():
+    """Probabilities of all classes sum to one, and each is the softmax of the products written out."""
     rng = np.random.default_rng(0)
     code = np.unique(rng.integers(0, (lm.CLASSES + 1) ** 2 * lm.CLASSES, 500))
-    p = 10.0 ** lm.train(code, np.ones(len(code), np.int64), rounds=20).astype(float)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    t = lm.Tables(*[np.zeros(0)] * 3, 0, 0, 0, np.zeros(0), lm.train(code, np.ones(len(code), np.int64), rounds=20))
+    last, before, q, b = (x.astype(float) for x in t.model)
+    for context in code[:5] // lm.CLASSES:
+        p = 10.0 ** t.log_p(np.full(lm.CLASSES, context), np.arange(lm.CLASSES))
+        two, one = divmod(int(context), lm.CLASSES + 1)
+        z = np.array([math.exp(sum((last[one, j] + before[two, j]) * q[k, j] for j in range(q.shape[1])) + b[k]) for k in range(lm.CLASSES)])
+        assert abs(p.sum() - 1) < 1e-4 and np.allclose(p, z / z.sum(), rtol=1e-3)
+    even = lm.train(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert np.allclose(even[0] @ even[2].T + even[3], even[3][0])
+
+
+def test_language_model_scores_by_hand(spark):
+    """The model's score of a text is the sum over its tokens of class probability and share of the class."""
+    texts = [(k, f"the cat sat on a mat and the dog ran w{k % 7} end") for k in range(60)] + [(100, "the bird sat on unseen words")]
+    rows = spark.createDataFrame(texts, DOCS)
+    seen = {}
+    real = lm.train
+    try:
+        lm.train = lambda code, n: seen.setdefault("model", real(code, n))
+        got = {r["doc_id"]: r for r in lm.score(rows).collect()}
+    finally:
+        lm.train = real
+    last, before, q, b = (x.astype(float) for x in seen["model"])
+    counts = Counter(w for i, t in texts if zlib.crc32(str(i).encode()) % 10 for w in t.split())
+    ends = sum(zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in texts)
+    kind = {}
+    hashes = {w: int(lm.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in counts}
+    for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], hashes[w]))):
+        kind[w] = k + 1
+    bucket = lambda w: int(lm.bucket(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0])
+    for i, t in texts[-3:]:
+        classes = [kind.get(w, bucket(w)) for w in t.split()] + [0]
+        two = one = lm.START
+        total = 0.0
+        for k, w in zip(classes, [*t.split(), None], strict=True):
+            z = (last[one] + before[two]) @ q.T + b
+            total += (z[k] - z.max() - math.log(np.exp(z - z.max()).sum())) / math.log(10)
+            if k >= lm.TOP:  # no counted word is left in the buckets here
+                total += math.log10(lm.ALPHA) - math.log10(lm.ALPHA)
+            two, one = one, k
+        assert abs(got[i]["score"] - total) < 1e-2 and ends
 
 
 def test_languages(spark, hard, empty):
@@ -582,6 +622,141 @@ def test_languages(spark, hard, empty):
     assert {r["lang_pred"] for r in langid.predict(some, none).collect()} == {"und"}
 
 
+def step(p, side, x, h):
+    """One step of a gated recurrent unit, gate by gate."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    g, n = x @ p[side + "w"].astype(float) + p[side + "b"], len(h)
+    a = h @ p[side + "u"].astype(float)
+    z, r = sig(g[:n] + a[:n]), sig(g[n : 2 * n] + a[n : 2 * n])
+    new = np.tanh(g[2 * n :] + r * (a[2 * n :] + p[side + "bn"]))
+    return (1 - z) * new + z * h
+
+
+def test_languages_by_hand():
+    """Every byte labelled by a forward pass written out; the document's probabilities are pooled over all of them."""
+    model = langid.Model(["aa", "bb", "cc"])
+    texts = ["", "short", "a text of more than one window, " * 8]
+    raw = [t.encode() for t in texts]
+    got = model.documents(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, x, probs in zip(texts, raw, got, strict=True):
+        logs = []
+        for lo in range(0, len(x), langid.WINDOW):
+            w = x[lo : lo + langid.WINDOW]
+            one = np.eye(256)
+            f, b, h = [], [], np.zeros(langid.HIDDEN)
+            for c in w:
+                h = step(model.p, "f", one[c], h)
+                f.append(h)
+            h = np.zeros(langid.HIDDEN)
+            for c in reversed(w):
+                h = step(model.p, "b", one[c], h)
+                b.insert(0, h)
+            z = np.array(f) @ model.p["vf"] + np.array(b) @ model.p["vb"] + model.p["c"]
+            logs += list(z - np.log(np.exp(z).sum(1, keepdims=True)))
+        mean = np.mean(logs, 0) if logs else np.zeros(3)
+        assert np.allclose(probs, np.exp(mean) / np.exp(mean).sum(), atol=1e-4)
+        assert model.positions(t) == [model.languages[int(np.argmax(v))] for v in logs]
+
+
+def test_rare_languages_are_learned(spark):
+    """Of 6,000 documents 20 are in a language of their own."""
+    rows = [(k, " ".join("der die das und ist nicht mit wir".split()[(k * j) % 8] for j in range(1, 30)), "de") for k in range(6000)]
+    rows += [(10_000 + k, " ".join("qo xha zwe pli vux kyo".split()[(k * j) % 6] for j in range(1, 30)), "zz") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample=300)
+    assert model.languages == ["de", "zz"]
+    assert langid.predict(docs, model).where("(doc_id >= 10000) <> (lang_pred = 'zz')").count() < 60
+    assert langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_by_hand(spark):
+    """A text's score by a forward pass over each of its windows, written out."""
+    rows = [(k, f"{'you vile awful fool' if k % 3 == 0 else 'a kind and calm letter'} number {k} " + "of plain words here " * (k % 20)) for k in range(120)]
+    import pyarrow as pa
+
+    model = toxicity.trained(pa.array([t for _, t in rows], pa.large_string()), np.array([k % 3 == 0 for k, _ in rows]))
+    p = model.p
+    for text in (rows[0][1], rows[19][1], "", "unseen Wörter only"):
+        raw = lower(text).encode()
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw)
+        vectors = []
+        for w in words:
+            buf = np.frombuffer(w, np.uint8)
+            grams, _ = toxicity.grams(buf, np.array([0]), np.array([len(w)]))
+            known = np.flatnonzero(model.vocabulary == toxicity.span_hashes(buf, np.array([0]), np.array([len(w)]))[0])
+            vectors.append(np.concatenate([p["words"][known[0] + 1 if len(known) else 0], p["grams"][grams].mean(0)]))
+        worst = -np.inf
+        for lo in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
+            part = vectors[lo : lo + toxicity.WINDOW] + [np.zeros(12)] * (toxicity.WINDOW - len(vectors[lo : lo + toxicity.WINDOW]))
+            n = len(vectors[lo : lo + toxicity.WINDOW])
+            f, b = [], []
+            h = np.zeros(toxicity.HIDDEN)
+            for x in part:
+                h = step(p, "f", x, h)
+                f.append(h)
+            h = np.zeros(toxicity.HIDDEN)
+            for x in reversed(part):
+                h = step(p, "b", x, h)
+                b.insert(0, h)
+            hidden = np.concatenate([f, b], 1)
+            a = np.tanh(hidden @ p["a"]) @ p["q"]
+            a[n:] = -30
+            w = np.exp(a - a.max())
+            worst = max(worst, float((w / w.sum()) @ hidden @ p["o"] + p["c"][0]))
+        want = 1 / (1 + math.exp(-(model.scale * worst + model.shift)))
+        assert abs(model.scores(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0] - want) < 1e-3
+
+
+def test_added_personal_data(spark):
+    """Precision and recall of the added kinds on made texts with known truths and decoys."""
+    rng = np.random.default_rng(4)
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    code = lambda n, signs="ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789": "".join(rng.choice(list(signs), n))
+    texts, truth = [], []
+    for k in range(600):
+        yes = {
+            "secret": lambda: (pick("api key: ", "password=", "the token is "), f"a7{code(28)}Z9"),
+            "tel": lambda: (pick("call ", "phone: ", "her mobile "), f"({int(rng.integers(212, 990))}) {int(rng.integers(222, 999))}-{int(rng.integers(1000, 9999))}"),
+            "ssn": lambda: (pick("SSN ", "social security number "), f"{int(rng.integers(101, 600)):03d}-{int(rng.integers(10, 99))}-{int(rng.integers(1000, 9999))}"),
+            "person": lambda: (pick("signed by ", "dear ", "contact "), f"{pick('Mr', 'Mrs', 'Dr')}. {pick('John', 'Mary', 'Paul', 'Anna')} {pick('Miller', 'Okafor', 'Lindt', 'Serrano')}"),
+        }
+        no = {
+            "secret": lambda: (pick("commit ", "sha256 ", "digest "), code(40, "0123456789abcdef")),
+            "ssn": lambda: ("part number ", f"000-{int(rng.integers(10, 99))}-0000"),
+            "tel": lambda: ("version ", f"{int(rng.integers(100, 199))} {int(rng.integers(100, 199))} {int(rng.integers(1000, 9999))}"),
+            "person": lambda: ("the film ", pick("Dr Strangelove", "Dr Who", "Mr President")),
+        }
+        good = k % 2 == 0
+        kind = pick(*(yes if good else no))
+        lead, item = (yes if good else no)[kind]()
+        texts.append((k, f"Some words stand here. {lead}{item} and more follow."))
+        truth.append((kind, 23 + len(lead), 23 + len(lead) + len(item)) if good else None)
+    found = {r["doc_id"]: {(x.split(":")[0], *map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.split(":")[0] in pii.ADDED} for r in pii.spans(spark.createDataFrame(texts, DOCS)).collect()}
+    hit = sum(t in found[k] for k, t in enumerate(truth) if t)
+    wrong = sum(len(found[k] - {t}) for k, t in enumerate(truth))
+    assert hit >= 0.9 * sum(t is not None for t in truth) and wrong <= 0.1 * hit
+
+
+def test_redaction_covers_spans(spark, sf):
+    """Marks stand where spans do: where none overlap the text is that with its spans replaced, and no span's text is left."""
+    rows = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").where("text is not null")
+    spans_of = {r["doc_id"]: r["spans"] for r in pii.spans(rows).collect()}
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    seen = 0
+    for r in pii.redact(rows).collect():
+        spans = sorted((int(a), int(e), k) for k, a, e in (x.split(":") for x in spans_of[r["doc_id"]].split(",") if x))
+        if all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False)):
+            out, at, text = [], 0, texts[r["doc_id"]]
+            for a, e, k in spans:
+                out += [text[at:a], f"[{k.upper()}]"]
+                at = e
+            assert r["text"] == "".join(out) + text[at:]
+            seen += len(spans)
+        else:
+            assert not any(texts[r["doc_id"]][a:e] in r["text"] for a, e, _ in spans)
+    assert seen
+
+
 def gradient(f, x, k):
     old = x.flat[k]
     x.flat[k] = old + 1e-2
