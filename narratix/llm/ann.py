@@ -372,8 +372,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ratio: float = 0
     # a query's list holds k + 1 of them, one of which may be the query itself
     found = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k + 1).alias("all"))
     names = valid_vectors(queries).distinct()
-    names = joined_apart(names, alike.where("asked > 0").select("embedding", F.col("rep").alias("query")), "embedding", alike.where("asked > 0").select("embedding", F.col("asked").alias("n")))
-    names = names.select(F.col("vec_id").alias("query_id"), "query")
+    # a join on the vector itself: the side with repeated queries is the one that Spark can split
+    names = names.join(alike.where("asked > 0").select("embedding", F.col("rep").alias("query")), "embedding").select(F.col("vec_id").alias("query_id"), "query")
     out = joined_apart(names, found, "query", alike.where("asked > 0").select(F.col("rep").alias("query"), F.col("asked").alias("n")))
     mine = F.slice(F.filter("all", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = out.select("query_id", F.posexplode(mine).alias("pos", "x"))
