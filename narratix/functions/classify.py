@@ -66,10 +66,13 @@ def _tidy(c: Column) -> Column:
 
 
 def person(c: Column) -> Column:
-    t = sub(_tidy(c), P.BY)
-    words = F.filter(F.transform(F.split(t, " "), lambda w: sub(w, "[^A-Za-zÀ-ÖØ-öø-ÿ'.-]")), lambda w: w != "")
-    capital = F.size(F.filter(words, lambda w: ~F.lower(w).isin(*P.PARTICLES) & w.rlike(r"\A\p{Lu}")))
-    return (t != "") & (F.length(t) <= 80) & ~noise(t) & F.size(words).between(2, 5) & (capital >= 2)
+    def of(t):
+        words = F.filter(F.transform(F.split(t, " "), lambda w: sub(w, "[^A-Za-zÀ-ÖØ-öø-ÿ'.-]")), lambda w: w != "")
+        capital = lambda w: F.size(F.filter(w, lambda x: ~F.lower(x).isin(*P.PARTICLES) & x.rlike(r"\A\p{Lu}")))
+        # long lines are no names, and are not taken apart
+        return F.when((t == "") | (F.length(t) > 80), False).otherwise(let(words, lambda w: F.size(w).between(2, 5) & (capital(w) >= 2) & ~noise(t)))
+
+    return let(sub(_tidy(c), P.BY), of)
 
 
 def subtitle_like(c: Column) -> Column:
@@ -78,9 +81,8 @@ def subtitle_like(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    words = F.regexp_extract_all(c, F.lit(P.LATIN_WORD), F.lit(0))
-    good = F.size(F.filter(words, lambda w: w.rlike(r"\A\p{Lu}") | F.lower(w).isin(*P.SMALL)))
-    return (F.size(words) > 0) & (good >= 0.7 * F.size(words))
+    good = lambda words: F.size(F.filter(words, lambda w: w.rlike(r"\A\p{Lu}") | F.lower(w).isin(*P.SMALL)))
+    return let(F.regexp_extract_all(c, F.lit(P.LATIN_WORD), F.lit(0)), lambda words: (F.size(words) > 0) & (good(words) >= 0.7 * F.size(words)))
 
 
 def plausible(c: Column) -> Column:
@@ -88,14 +90,25 @@ def plausible(c: Column) -> Column:
     return F.length(t).between(2, 120) & (count(t, P.LETTER) >= 2) & ~noise(t) & ~t.rlike(rf"(?i){P.B}(?:chapter|contents|preface|acknowledg|references|bibliography|index){P.B}")
 
 
-def identity_scores(t: Column, page: Column, font: Column | None = None, y: Column | None = None, centre: Column | None = None) -> tuple[Column, Column, Column]:
-    """Title, subtitle and author scores in hundredths, which add exactly. font: ratio to the largest; null features add nothing."""
-    n = token_count(t)
+def identity_features(t: Column) -> Column:
+    """What the scores need of a text, each once: tokens, looks like a name, noise, title case, looks like a subtitle."""
+    named = person(t)
+    return F.struct(token_count(t).alias("n"), named.alias("person"), noise(t).alias("noise"), title_case(t).alias("title_case"), _tidy(t).rlike("[:—–]").alias("cut"))
+
+
+def identity_scores(t: Column, page: Column, font: Column | None = None, y: Column | None = None, centre: Column | None = None) -> Column:
+    """Title, subtitle and author scores in hundredths, which add exactly, as a struct. font: ratio to the largest; null features add nothing."""
+    return let(identity_features(t), lambda f: F.struct(*(c.alias(n) for n, c in zip(("title", "subtitle", "author"), _scores(f, page, font, y, centre), strict=True))))
+
+
+def _scores(f: Column, page: Column, font: Column | None, y: Column | None, centre: Column | None) -> tuple[Column, Column, Column]:
+    n, named, noisy, cased = f["n"], f["person"], f["noise"], f["title_case"]
+    sub_like = f["cut"] | (n.between(5, 14) & ~named)
     add = lambda *cases: sum((F.when(c, v).otherwise(0) for c, v in cases), F.lit(0))
     near = (page <= 3) & (page != 1)
-    title = add((F.lit(True), 35), (page == 1, 15), (near, 5), (n.between(1, 7), 12), (n > 16, -25), (person(t), -15), (title_case(t), 8), (noise(t), -50))
-    subtitle = add((F.lit(True), 20), (page == 1, 10), (near, 5), (n.between(4, 14), 12), (n > 16, -10), (person(t), -10), (subtitle_like(t), 25), (title_case(t), 8), (noise(t), -50))
-    author = add((F.lit(True), 20), (page == 1, 5), (n > 16, -20), (person(t), 45), (noise(t), -50))
+    title = add((F.lit(True), 35), (page == 1, 15), (near, 5), (n.between(1, 7), 12), (n > 16, -25), (named, -15), (cased, 8), (noisy, -50))
+    subtitle = add((F.lit(True), 20), (page == 1, 10), (near, 5), (n.between(4, 14), 12), (n > 16, -10), (named, -10), (sub_like, 25), (cased, 8), (noisy, -50))
+    author = add((F.lit(True), 20), (page == 1, 5), (n > 16, -20), (named, 45), (noisy, -50))
     if font is not None:
         title, subtitle = title + add((font >= 0.92, 35), ((font < 0.92) & (font >= 0.72), 10)), subtitle + add(((font < 0.92) & (font >= 0.72), 25))
     if y is not None:

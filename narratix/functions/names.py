@@ -60,3 +60,13 @@ def tags(title: Column, subtitle: Column, author: Column, genre: Column, year: C
     said = F.coalesce(comment, F.when(subtitle != "", F.concat(title, F.lit(". "), subtitle, F.lit("."))).otherwise(title))
     pairs = {"title": full, "artist": artist, "album": full, "album_artist": artist, "genre": _or(clean(genre), "Audiobook"), "track": F.lit("1/1"), "comment": clean(said), "subtitle": subtitle, "author": author, "date": clean(year)}
     return F.map_filter(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))), lambda _, v: v != "")
+
+
+def book_path(folder: Column, label: Column, suffix: str = ".wav") -> Column:
+    """The book's file: folder and label; an MP3 of a whole book has no label."""
+    stem = F.concat_ws("_", folder, label)
+    return F.concat(F.lit("books/"), F.regexp_replace(stem, "_full$", "") if suffix == ".mp3" else stem, F.lit(suffix))
+
+
+def mode_label(force: Column, stitch_only: Column, no_stitch: Column) -> Column:
+    return F.when(force, "force regenerate").when(stitch_only, "stitch only").when(no_stitch, "render chunks only").otherwise("resume / reuse existing")

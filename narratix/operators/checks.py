@@ -36,3 +36,9 @@ def validation_errors(c: Column) -> Column:
     head = F.exists(T.nonempty(F.split(t, "\n")), lambda x: (F.length(x) <= 80) & ~x.endswith(".") & ~x.endswith("?") & ~x.startswith("This is a quick overview"))
     found = [F.when(~n.between(2, 4), "paragraphs"), *(F.when(t.rlike(p), f"banned {k}") for k, p in enumerate(P.BANNED, 1)), F.when(head, "heading-like lines")]
     return F.when(t == "", F.array(F.lit("empty output"))).otherwise(F.array_compact(F.array(*found)))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """Cases by status, and whether the run fails: it does if any case does."""
+    rows = results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return rows.crossJoin(F.broadcast(results.agg(F.coalesce(F.bool_or(F.col("status") == "FAIL"), F.lit(False)).alias("failed"))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, markers
 from ..functions import text as T
 
+#: Types of headings.
 HEADINGS = ("heading", "subtitle", "chapter_title", "section_heading")
 
 
@@ -59,6 +60,7 @@ def with_title(parts: Column, title: Column) -> Column:
 
 
 def subtitle_like(block: Column) -> Column:
+    # fixed values: words that open a sentence rather than a title
     starters = ("a", "an", "as", "at", "by", "for", "from", "if", "in", "it", "its", "on", "once", "the", "these", "this", "to", "we", "when", "while", "with")
     b = T.compact(block)
     words = F.split(b, " ")

@@ -17,7 +17,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from .layout import PAGE, inside, merged
 
-#: Classes of recognised lines that are never recovered.
+#: Classes of recognised lines that are never recovered.
 FURNITURE = ("empty", "page_number", "url", "doi", "footer", "footer_candidate", "header", "header_candidate", "extraction_artifact")
 
 
@@ -87,8 +87,9 @@ def recover(words: DataFrame, elements: DataFrame, pages: DataFrame) -> DataFram
     again = (letters("text") <= letters("covered_text") + 16) | (most_similar("text", F.array("covered_text")) > 0.72)
     lines = lines.where(~(whole & again)).where(most_similar("text", "known") <= 0.90)
     groups = ocr_groups(lines)
-    extra = groups.groupBy(*PAGE, "paragraph").agg(F.first("known").alias("known"), F.first("width").alias("width"), F.first("height").alias("height"), F.bround(F.avg("coverage"), 3).alias("avg_coverage"))
+    groups = groups.join(table_rows(words), [*PAGE, "line"], "left")
+    extra = groups.groupBy(*PAGE, "paragraph").agg(F.count_if("is_row").alias("table_rows"), F.first("known").alias("known"), F.first("width").alias("width"), F.first("height").alias("height"), F.bround(F.avg("coverage"), 3).alias("avg_coverage"))
     found = merged(groups).withColumn("text", speech.ocr_normalize(F.col("text"))).join(extra, [*PAGE, "paragraph"])
     found = found.where((F.length("text") >= 24) & (meaning("text") >= 5)).where(most_similar("text", "known") <= 0.88)
-    found = found.withColumn("type", classify.element_class(F.col("text"), *place)).where(~F.col("type").isin(*FURNITURE))
+    found = found.withColumn("type", classify.element_class(F.col("text"), *place, F.col("table_rows"))).where(~F.col("type").isin(*FURNITURE))
     return found.select(*PAGE, "paragraph", F.when(F.col("type") == "paragraph", "recovered_ocr_paragraph").otherwise(F.col("type")).alias("type"), "text", "x0", "y0", "x1", "y1", "avg_coverage")

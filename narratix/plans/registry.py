@@ -20,14 +20,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table in fewer files than there are cores is dealt to all cores; larger tables are read as they lie."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def with_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +75,8 @@ def prj_front_matter(spark, d):
 
 def prj_identity_score(spark, d):
     rows = with_literals(spark, d)
-    title, subtitle, author = classify.identity_scores(T.compact(F.col("line")), F.lit(1))
-    return rows.select("doc_id", "line_no", title.alias("title"), subtitle.alias("subtitle"), author.alias("author"))
+    scores = classify.identity_scores(T.compact(F.col("line")), F.lit(1))
+    return rows.select("doc_id", "line_no", scores.alias("s")).select("doc_id", "line_no", "s.*")
 
 
 def nar_render(spark, d):
@@ -152,9 +146,12 @@ def chk_regression(spark, d):
     # a passage of 8 words or more is in a text only where its second to seventh are, so they pick the documents to look into
     long = F.size(words(F.col("phrase"))) >= 8
     probes = cases.where(long).withColumn("probe", F.array_join(F.slice(words(F.col("phrase")), 2, 6), " "))
-    docs = documents(spark, d).select(T.compact(F.col("text")).alias("all"))
-    grams = docs.select("all", words(F.col("all")).alias("w")).select("all", F.explode(F.when(F.size("w") >= 7, F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, F.lit(6)), " ")))).alias("probe"))
-    hits = probes.join(grams, "probe").where(F.col("all").contains(F.col("phrase"))).select("item_id")
+    docs = documents(spark, d).select("doc_id", T.compact(F.col("text")).alias("all"))
+    # grams carry the document's id alone, and only those of some passage leave their task; texts are fetched for these
+    found = F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, F.lit(6)), " "))
+    grams = docs.select("doc_id", words(F.col("all")).alias("w")).select("doc_id", F.explode(F.when(F.size("w") >= 7, F.array_distinct(found))).alias("probe"))
+    pairs = grams.join(probes.select("item_id", "phrase", "probe"), "probe").select("doc_id", "item_id", "phrase").distinct()
+    hits = docs.join(pairs, "doc_id").where(F.col("all").contains(F.col("phrase"))).select("item_id")
     short = docs.crossJoin(F.broadcast(cases.where(~long))).where(F.col("all").contains(F.col("phrase"))).select("item_id")
     hits = hits.unionByName(short).groupBy("item_id").agg(F.lit(True).alias("found"))
     rows = cases.join(hits, "item_id", "left")

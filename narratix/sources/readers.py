@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def whole_texts(spark: SparkSession, path: str, pattern: str = r"narration_(\d+)\.txt$") -> DataFrame:
     """chapter, path and text of the files whose name the pattern takes a number from."""
@@ -17,20 +19,25 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(name, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0)), lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 12, "0")).otherwise(x)), "")
 
 
-def ocr_words(tsv: DataFrame, least: float = 35) -> DataFrame:
-    """Words of OCR tables: level 5, whole numbers that parse, confidence at least `least`; places divided by scale.
+#: The columns of an OCR table.
+TSV = "level page_num block_num par_num line_num word_num left top width height conf text".split()
+
+
+def ocr_words(tsv: DataFrame, least: float = 35, header: list[str] | None = None) -> DataFrame:
+    """Words of OCR tables: level 5, whole numbers that parse, confidence at least `least`; places divided by scale, quotes and spaces normalized.
 
-    tsv: doc_id, page, scale and a line of 12 tab-separated fields.
+    tsv: doc_id, page, scale and a line of tab-separated fields, whose names the header gives (the usual order without one).
     """
-    f = F.split("line", "\t")
-    at = lambda k: F.get(f, F.lit(k))
-    whole = lambda k: at(k).try_cast("int")
-    rows = tsv.where((F.size(f) >= 11) & (at(0) == "5")).select(
-        "doc_id", "page", whole(2).alias("block"), whole(3).alias("par"), whole(4).alias("line_num"), whole(5).alias("ord"),
-        *((at(k).try_cast("double") / F.col("scale")).alias(n) for k, n in ((6, "left"), (7, "top"), (8, "width"), (9, "height"))), F.coalesce(at(10).try_cast("double"), F.lit(-1.0)).alias("conf"), F.trim(at(11)).alias("text"),
+    names, f = header or TSV, F.split("line", "\t")
+    at = lambda n: F.get(f, F.lit(names.index(n)))
+    whole = lambda n: at(n).try_cast("int")
+    place = [(at(n).try_cast("double") / F.col("scale")).alias(n) for n in ("left", "top", "width", "height")]
+    rows = tsv.where((F.size(f) >= len(names) - 1) & (at("level") == "5")).select(
+        "doc_id", "page", whole("block_num").alias("block"), whole("par_num").alias("par"), whole("line_num").alias("line"), whole("word_num").alias("ord"),
+        *place, F.coalesce(at("conf").try_cast("double"), F.lit(-1.0)).alias("conf"), T.normalize_text(F.coalesce(at("text"), F.lit(""))).alias("text"),
     )
-    rows = rows.dropna(subset=["block", "par", "line_num", "ord", "left", "top", "width", "height"]).where((F.col("conf") >= least) & (F.col("text") != ""))
-    return rows.select("doc_id", "page", "block", "par", F.col("line_num").alias("line"), "ord", "text", F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"), "conf")
+    rows = rows.dropna(subset=["block", "par", "line", "ord", "left", "top", "width", "height"]).where((F.col("conf") >= least) & (F.col("text") != ""))
+    return rows.select("doc_id", "page", "block", "par", "line", "ord", "text", F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"), "conf")
 
 
 def tolerant_json(c: Column, schema: str) -> Column:

@@ -1,10 +1,10 @@
 """Every query against its SQL on the smallest tables; the others give rows."""
 
 import pytest
-from narratix.plans import more, more_sql, registry
+from narratix.plans import extra, more, more_sql, registry
 
-QUERIES = registry.QUERIES | more.QUERIES
-ORACLE_SQL = registry.ORACLE_SQL | more_sql.sql(registry.LITERALS)
+QUERIES = registry.QUERIES | more.QUERIES | extra.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL | more_sql.sql(registry.LITERALS) | extra.ORACLE_SQL
 
 
 def rows(frame):
