@@ -802,3 +802,16 @@ def test_pipeline(spark):
     before, after = frames["personal_data"]
     assert set(before) == set(after) and any(before[k] != after[k] for k in before)
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == len(after)
+
+
+def test_pipeline_on_hard_rows(spark, sf, hard):
+    """Every stage on nulls, empty and long texts, repeated rows and clashing columns, and on no rows: columns stay, and nothing crashes."""
+    docs = hard.withColumn("n_chars", F.length("text").cast("long")).withColumn("lang", F.lit(None).cast("string"))
+    docs = docs.where("doc_id is null or doc_id < 40 or doc_id >= 1000000")
+    for frame in (docs, docs.limit(0)):
+        kept = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before, kept = kept, stage(spark, kept, sf).cache()
+            assert kept.columns == before.columns and kept.count() <= before.count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
+        assert packed.where("start = 0").count() == kept.count()
