@@ -48,6 +48,15 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_agrees_with_sql(spark, sf, duck, name):
+    def rows(frame):
+        frame = frame[sorted(frame.columns)].astype(object)
+        return sorted(map(str, frame.where(frame.notna(), None).itertuples(index=False, name=None)))
+
+    assert rows(queries.QUERIES[name](spark, sf).toPandas()) == rows(duck.execute(queries.ORACLE_SQL[name]).df())
+
+
 def test_packing(spark, hard, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
