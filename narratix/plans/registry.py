@@ -20,8 +20,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores (one file of one row group cannot be split) is dealt to all cores.
+
+    What is dealt is smaller than a split for each core, so this never happens to a large table, which is read as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def with_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
