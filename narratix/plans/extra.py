@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, names
 from ..functions import text as T
-from ..operators import checks, chunks, elements, export, identity, manifest, narration
+from ..operators import checks, chunks, elements, export, identity, manifest, narration, summary
 from ..sources import select
 from ..streaming import status
 from . import more, more_sql, oracle
@@ -339,6 +339,29 @@ def sum_draft(spark, d):
     return export.draft(turns(spark, d).where("role <> 'user'").select("conv_id", F.col("turn").alias("ord"), text.alias("text")), "conv_id")
 
 
+#: Every third turn is a part without text, every fifth book has no title, every second no author.
+PROMPT_SQL = f"""parts AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord, count(*) OVER (PARTITION BY conv_id) AS total, CASE WHEN turn % 3 > 0 THEN {strip('text')} ELSE '' END AS t FROM conversations),
+  prompts AS (SELECT conv_id, ord, ord || '/' || total || ' of ' || CASE WHEN conv_id % 5 = 0 THEN 'book ' || conv_id ELSE 'A {{title}} ' || conv_id END || ' by ' || CASE WHEN conv_id % 2 = 0 THEN 'Unknown Author' ELSE 'Jane Doe' END || ': ' || t AS prompt FROM parts WHERE t <> '')"""
+
+
+def book_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c, t = F.col("conv_id"), F.col("turn")
+    parts = turns(spark, d).select("conv_id", F.concat(F.lit("narration_"), t.cast("string"), F.lit(".txt")).alias("name"), F.when(t % 3 > 0, F.col("text")).alias("text"))
+    names = [F.when(c % 5 > 0, F.concat(F.lit("A {title} "), c.cast("string"))).alias("title"), F.when(c % 2 > 0, "Jane Doe").otherwise(" ").alias("author"), F.concat(F.lit("book "), c.cast("string")).alias("folder")]
+    return parts, parts.select("conv_id").distinct().select("conv_id", *names)
+
+
+@agrees(f"WITH {PROMPT_SQL} SELECT conv_id, ord, prompt FROM prompts")
+def sum_prompts(spark, d):
+    return summary.draft_prompts(*book_parts(spark, d), "conv_id", template="{number}/{total} of {title} by {author}: {text}")
+
+
+@agrees(f"WITH {PROMPT_SQL} SELECT conv_id, string_agg('It has ' || length(prompt) || ' signs.', chr(10) || chr(10) ORDER BY ord) AS text FROM prompts GROUP BY 1")
+def sum_quick_draft(spark, d):
+    """Prompts to a provider that tells their lengths, and its answers to drafts."""
+    return summary.quick_draft(*book_parts(spark, d), lambda: lambda p: f"# It has {len(p)} signs.\nSummary\n", "conv_id", template="{number}/{total} of {title} by {author}: {text}")
+
+
 @agrees("""SELECT conv_id, turn, 'books/' || folder || '_' || label || '.wav' AS wav, 'books/' || folder || CASE WHEN label = 'full' THEN '' ELSE '_' || label END || '.mp3' AS mp3, CASE WHEN turn % 4 = 0 THEN 'force regenerate' WHEN turn % 4 = 1 THEN 'stitch only' WHEN turn % 4 = 2 THEN 'render chunks only' ELSE 'resume / reuse existing' END AS mode
   FROM (SELECT conv_id, turn, 'Book ' || conv_id AS folder, CASE conv_id % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'chapter_' || lpad(CAST(turn + 1 AS VARCHAR), 3, '0') ELSE 'chapters_' || list_aggregate(list_transform(range(turn + 1, turn + 7), lambda k: lpad(CAST(k AS VARCHAR), 3, '0')), 'string_agg', '_') || '_plus' END AS label FROM conversations)""")
 def prj_paths(spark, d):

@@ -15,18 +15,21 @@ from . import oracle
 #: Lines that hold what the documents lack: markers, classes and labels to tell apart.
 LITERALS = ["2", "1982", "1988 2008", "1.1 1988 2008", "( 1968 )", "1 9 8 2", "", "He had 3 apples.", "In 1968, he left.", "Fig. 1.1 Photograph of X", "Table of Contents", "Copyright 2020, ISBN 1", "Preface and Acknowledgements", "42", "https://a.b", "doi 10.1234/x", "© 2020 X", "Chapter 3: A Title", "Foreword", "12.5, 7", "By Jane Doe"]
 
+#: The most bytes of a table that are shuffled to make up for a single row group.
+DEALT = 64 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table in fewer splits than there are cores (one file of one row group cannot be split) is dealt to all cores.
+    """A table of at most DEALT bytes is dealt to all cores, since it may be one row group, which a reader cannot split.
 
-    What is dealt is smaller than a split for each core, so this never happens to a large table, which is read as it lies.
+    The bound is on the table, not on the cores: larger tables are read as they lie on a cluster of any size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= DEALT else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,18 @@ def test_refine(spark):
     assert got["a"]["attempts"] == 1 and got["b"]["attempts"] == 2 and not got["b"]["errors"]
 
 
+def test_retell(spark):
+    parts = spark.createDataFrame([(1, "narration_10.txt", "ten"), (1, "narration_2.txt", " two {title} "), (1, "narration_1.txt", " "), (2, "narration_1.txt", None)], "book long, name string, text string")
+    books = spark.createDataFrame([(1, " ", None, "folder"), (2, "T", "A", "f")], "book long, title string, author string, folder string")
+    prompts = summary.draft_prompts(parts, books, "book", template="{number}/{total} {title}, {author}: {text}").orderBy("ord").collect()
+    assert [r["prompt"] for r in prompts] == ["2/3 folder, Unknown Author: two {title}", "3/3 folder, Unknown Author: ten"]
+    told = summary.quick_draft(parts, books, lambda: lambda p: f"Key themes\n{p.split()[-1]} is told.", "book")
+    assert [tuple(r) for r in told.collect()] == [(1, "{title} is told.\n\nten is told.")]
+    provider = lambda: lambda p: "One.\n\nTwo." if p.startswith("Rewrite") else "this paper is bad"
+    assert [(r["key"], r["attempts"], r["errors"], r["text"].split("\n")[0]) for r in summary.retell(told, books, provider, "book").collect()] == [(1, 2, [], "This is a quick overview of folder by Unknown Author.")]
+    assert summary.retell(told, books, lambda: lambda p: "", "book", attempts=2).first()["errors"]
+
+
 def test_regression_statuses(spark):
     cases = spark.createDataFrame([("1", "f", "a b", None, None, None, None), ("2", "f", "zz", None, None, None, "known_fail"), ("3", "f", None, None, None, r"2", None), ("4", "f", None, "zz", "x+", None, "known_fail"), ("5", "g", "a", None, None, None, None)], "id string, file string, must_contain string, must_not_contain string, must_match_line string, must_not_match_line string, expected string")
     outputs = spark.createDataFrame([("f", "a\n b\nxx\n2")], "file string, text string")
