@@ -207,6 +207,8 @@ def _centroids(t: pd.DataFrame) -> np.ndarray:
 
 #: A part of list x has the number (x + 1) * 2**PARTS + k, so numbers tell levels apart.
 PARTS = 13
+#: The fewest bins of a scan, and about the most rows (of members, of queries) that one holds, each with its vector.
+BINS, BIN = 16, 131_072
 
 
 def _parted(most: float, closure: float, copies: int):
@@ -242,19 +244,35 @@ def _routed(most: float, ratio: float):
 
 
 def _scan(k: int):
+    """The k best of each query over all the lists of a bin, each list's members against the queries that read it."""
+    unit = ["list", "m", "q"]
+
     def run(key: tuple, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(members) and len(queries):
-            v = np.stack(members["embedding"].to_numpy()).astype(float)
-            rep = members["rep"].to_numpy()
-            for lo in range(0, len(queries), 512):
-                part = queries.iloc[lo : lo + 512]
-                q = np.stack(part["embedding"].to_numpy()).astype(float)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        at = members.groupby(unit).indices if len(members) else {}
+        rep, name = members["rep"].to_numpy(), queries["query"].to_numpy()
+        for which, rows in queries.groupby(unit).indices.items() if at else ():
+            own = at.get(which)
+            if own is None:
+                continue
+            v, n = np.stack(members["embedding"].to_numpy()[own]).astype(float), min(k, len(own))
+            for lo in range(0, len(rows), 512):
+                part = rows[lo : lo + 512]
+                q = np.stack(queries["embedding"].to_numpy()[part]).astype(float)
                 s = q @ v.T
-                least = np.partition(s, len(v) - min(k, len(v)), axis=1)[:, len(v) - min(k, len(v))]
+                least = np.partition(s, len(v) - n, axis=1)[:, len(v) - n]
                 r, c = np.nonzero(s >= least[:, None] - 1e-12)
-                out.append(pd.DataFrame({"query": part["query"].to_numpy()[r], "rep": rep[c], "score": np.einsum("ij,ij->i", q[r], v[c])}))
-        return pd.concat(out) if out else pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
+                out.append((name[part[r]], rep[own[c]], np.einsum("ij,ij->i", q[r], v[c])))
+        query, rep, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((-score, rep, query))  # a vector may stand in several lists
+        query, rep, score = query[order], rep[order], score[order]
+        new = np.append(True, (query[1:] != query[:-1]) | (rep[1:] != rep[:-1]))[: len(query)]
+        query, rep, score = query[new], rep[new], score[new]
+        order = np.lexsort((rep, -score, query))
+        query, rep, score = query[order], rep[order], score[order]
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
+        best = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
+        return pd.DataFrame({"query": query[best], "rep": rep[best], "score": score[best]})
 
     return run
 
@@ -358,14 +376,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ratio: float = 0
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     alike, part = index.alike, index.part
     probe = index.probes(alike.where("asked > 0").select("rep", "embedding"), ratio, 10 * k)
-    # a list that is read is dealt into parts of members (m) and of queries (q), and each pair of parts is scanned
+    # a list that is read is dealt into parts of members (m) and of queries (q), and each pair of parts is scanned; bins of
+    # many pairs hand on the best of each query once, so that few rows are shuffled
     asked_of = materialize(_counts(probe), "asked")
-    parts = index.counts.withColumnRenamed("n", "members").join(asked_of, "list").select("list", F.ceil(F.col("members") / part).cast("int").alias("mp"), F.ceil(F.col("n") / part).cast("int").alias("qp"))
+    parts = index.counts.withColumnRenamed("n", "members").join(asked_of, "list").select("list", "members", "n", F.ceil(F.col("members") / part).cast("int").alias("mp"), F.ceil(F.col("n") / part).cast("int").alias("qp"))
     parts = materialize(parts, "parts")
+    size = parts.agg(F.sum(F.col("members") * F.col("qp")), F.sum(F.col("n") * F.col("mp"))).first()
+    bins = max(BINS, *(-(-(x or 0) // BIN) for x in size))
+    bin_ = F.pmod(F.xxhash64("list", "m", "q"), F.lit(bins)).alias("bin")
+    parts = parts.select("list", "mp", "qp")
     each = lambda c, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(c)
-    left = joined_apart(index.members, parts, "list", index.counts).select("list", F.pmod(F.xxhash64("rep"), F.col("mp")).cast("int").alias("m"), each("q", "qp"), "rep", "embedding")
-    right = joined_apart(probe, parts, "list", asked_of).select("list", each("m", "mp"), F.pmod(F.xxhash64("query"), F.col("qp")).cast("int").alias("q"), "query", "embedding")
-    hits = left.groupBy("list", "m", "q").cogroup(right.groupBy("list", "m", "q")).applyInPandas(_scan(k + 1), "query long, rep long, score double")
+    left = joined_apart(index.members, parts, "list", index.counts).select("list", F.pmod(F.xxhash64("rep"), F.col("mp")).cast("int").alias("m"), each("q", "qp"), "rep", "embedding").select("*", bin_)
+    right = joined_apart(probe, parts, "list", asked_of).select("list", each("m", "mp"), F.pmod(F.xxhash64("query"), F.col("qp")).cast("int").alias("q"), "query", "embedding").select("*", bin_)
+    hits = left.groupBy("bin").cogroup(right.groupBy("bin")).applyInPandas(_scan(k + 1), "query long, rep long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     hits = hits.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     found = hits.join(alike.where(F.size("ids") > 0).select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
