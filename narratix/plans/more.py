@@ -70,7 +70,7 @@ def win_tts_segments(spark, d):
 
 
 def str_names(spark, d):
-    t = first_line(F.col("text"))
+    t = F.col("text")
     return spoken_texts(spark, d).select("doc_id", names.safe_filename(t).alias("file"), names.folder_name(t).alias("folder"), names.slug_title(t).alias("title"))
 
 
@@ -162,12 +162,12 @@ def man_production(spark, d):
 
 
 def prj_front_text(spark, d):
-    t = T.compact(first_line(F.col("text")))
+    t = T.compact(F.col("text"))
     return spoken_texts(spark, d).select("doc_id", identity.front_text(t, F.when(F.col("doc_id") % 2 == 0, F.lower(t)).otherwise(F.lit("A Subtitle")), F.lit("Jane Doe")).alias("text"))
 
 
 def map_tags(spark, d):
-    pairs = F.map_entries(names.tags(first_line(F.col("text")), F.when(F.col("doc_id") % 2 == 0, "A Subtitle"), F.when(F.col("doc_id") % 3 == 0, " "), F.lit(None), F.lit("2020"), F.lit(None)))
+    pairs = F.map_entries(names.tags(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "A Subtitle"), F.when(F.col("doc_id") % 3 == 0, " "), F.lit(None), F.lit("2020"), F.lit(None)))
     return spoken_texts(spark, d).select("doc_id", F.array_join(F.array_sort(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"]))), "; ").alias("tags"))
 
 

@@ -95,7 +95,7 @@ def sql(literals: list[str]) -> dict[str, str]:
     units = " ".join(f"WHEN {size} >= {1024**k} AND {size} <> 0 THEN printf('%.2f {u}', round_even({size} / {1024**k}::DOUBLE, 2))" for k, u in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))) if k) + f" WHEN {size} > 0 THEN printf('%.2f B', {size}::DOUBLE)"
     bar = "CASE WHEN e % 100 > 0 THEN CAST(round_even(least(1.0::DOUBLE, (e % 120)::DOUBLE / (e % 100)) * 28, 0) AS INTEGER) ELSE 0 END"
     spec = "list_sort(list_distinct(range(conv_id % 5 + 1, conv_id % 9 + 3) || [turn * 3, 4]))"
-    title = compact(first)
+    title = compact("text")
     parts = nonempty("string_split(text, chr(10))")
     mine = "'A Title of Mine'"
     starters = "'a', 'an', 'as', 'at', 'by', 'for', 'from', 'if', 'in', 'it', 'its', 'on', 'once', 'the', 'these', 'this', 'to', 'we', 'when', 'while', 'with'"
@@ -111,9 +111,9 @@ def sql(literals: list[str]) -> dict[str, str]:
     present = strip(sub(sub(sub(present, "[ \\t]+\\n", "\n"), "\\n[ \\t]+", "\n"), "\\n{3,}", "\n\n"))
     joined = sub("replace(text, chr(160), ' ')", r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
     joined = f"replace(replace({sub(joined, chr(92) + 'n{2,}', chr(1))}, chr(10), ' '), chr(1), chr(10) || chr(10))"
-    file = sub(strip(sub(first, rf"[^\p{{L}}\p{{N}}_{P.SPACE[1:-1]}-]+")), f"{P.SPACE}+", "_")
-    folder = compact(sub(f"coalesce(nullif({strip(first)}, ''), 'Book')", "[^A-Za-z0-9._ -]+"))
-    slug = sub(compact(twice(f"translate({first}, '_-', '  ')", rf"(\A|{W})[0-9]{{4}}(\z|{W})", "$1$2")), r"\A[ |]+|[ |]+\z")
+    file = sub(strip(sub("text", rf"[^\p{{L}}\p{{N}}_{P.SPACE[1:-1]}-]+")), f"{P.SPACE}+", "_")
+    folder = compact(sub(f"coalesce(nullif({strip('text')}, ''), 'Book')", "[^A-Za-z0-9._ -]+"))
+    slug = sub(compact(twice(f"translate(text, '_-', '  ')", rf"(\A|{W})[0-9]{{4}}(\z|{W})", "$1$2")), r"\A[ |]+|[ |]+\z")
     case = [f"({', '.join('NULL' if x is None else q(x) for x in c)})" for c in CASES]
     line_has = lambda c: f"len(list_filter({nonempty('string_split(text, chr(10))')}, lambda x: regexp_full_match(x, {c}))) > 0"
     holds = f"text IS NOT NULL AND (must_contain IS NULL OR contains({compact('text')}, must_contain)) AND (must_not_contain IS NULL OR NOT contains({compact('text')}, must_not_contain)) AND (must_match_line IS NULL OR {line_has('must_match_line')}) AND (must_not_match_line IS NULL OR NOT {line_has('must_not_match_line')})"
@@ -149,7 +149,7 @@ def sql(literals: list[str]) -> dict[str, str]:
           told AS (SELECT f.doc_id, f.page, f.line, string_agg(b.text, ' ' ORDER BY b.idx) AS t FROM (SELECT DISTINCT doc_id, page, line, idx FROM firsts) f JOIN boxes b ON b.doc_id = f.doc_id AND b.page = f.page AND b.idx = f.idx GROUP BY 1, 2, 3)
           SELECT s.doc_id, s.page, s.line, coverage, coalesce(t, '') AS covered_text FROM (SELECT doc_id, page, line, round_even(avg(CASE WHEN idx IS NULL THEN 0 ELSE 1 END), 3) AS coverage FROM firsts GROUP BY 1, 2, 3) s LEFT JOIN told USING (doc_id, page, line)""",
         "win_ocr_groups": f"WITH {groups} SELECT doc_id, page, line, CAST(sum(cut) OVER w AS BIGINT) AS paragraph FROM cuts {own}",
-        "win_paragraphs": f"WITH {islands} SELECT doc_id, page, paragraph, CAST(length({o.normalize_text('a')}) AS INTEGER) AS n_chars FROM (SELECT doc_id, page, paragraph, {healed} AS a FROM numbered GROUP BY 1, 2, 3)",
+        "win_paragraphs": f"WITH {islands} SELECT doc_id, page, paragraph, {o.normalize_text('a')} AS text FROM (SELECT doc_id, page, paragraph, {healed} AS a FROM numbered GROUP BY 1, 2, 3)",
         "src_ocr_tsv": f"WITH {tsv} SELECT * FROM tsv",
         "agg_ocr_lines": f"WITH {tsv} SELECT doc_id, page, block || '-' || par || '-' || line AS key, string_agg(text, ' ' ORDER BY x0, ord) AS text, {box} FROM tsv GROUP BY doc_id, page, block, par, line",
         "agg_book_manifest": f"SELECT book, count(*) AS total_pages, CAST(sum(n) AS BIGINT) AS total_words, round_even(sum(n) / 150.0::DOUBLE, 2) AS estimated_minutes FROM (SELECT conv_id AS book, {count('text', P.TOKEN)} AS n FROM conversations) GROUP BY 1",

@@ -190,13 +190,12 @@ def sql(literals: list[str]) -> dict[str, str]:
     every = f"lines AS ({DOC_LINES} UNION ALL SELECT * FROM (VALUES {values(literals, ', 1')}) v(doc_id, line_no, line))"
     docs = f"lines AS ({DOC_LINES})"
     kinds = f"kinds AS (SELECT doc_id, line_no, line, {text_class('line')} AS kind FROM lines)"
-    first = "string_split(text, chr(10))[1]"
     spoken = f"CASE WHEN kind = 'figure_caption' THEN CASE WHEN {has('p', chr(92) + 'A(?i)(?:figure|fig' + chr(92) + '.)' + P.SPACE + '+[0-9]')} THEN p ELSE {strip(q('Figure caption. ') + ' || p')} END ELSE p END"
     blocks = f"{docs}, {kinds}, said AS (SELECT doc_id, line_no, {spoken} AS block FROM (SELECT *, {narration_paragraph('line')} AS p FROM kinds WHERE {skip_reason('line', 'kind', False)} IS NULL))"
     fold = f"""{blocks}, compacted AS (SELECT doc_id, line_no, {compact('block')} AS b FROM said WHERE block <> ''),
-      parts AS (SELECT doc_id, line_no, CASE WHEN {heading_unit('b')} THEN [b] ELSE {sentences('b')} END AS s, b FROM compacted WHERE b <> ''),
-      flat AS (SELECT doc_id, line_no, generate_subscripts(s2, 1) AS k, unnest(s2) AS unit FROM (SELECT doc_id, line_no, CASE WHEN len(s) = 0 THEN [b] ELSE s END AS s2 FROM parts)),
-      units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, k) AS i, {count('unit', P.WORD)} AS w FROM flat),
+      parts AS (SELECT doc_id, line_no, heading, CASE WHEN heading THEN [b] ELSE {sentences('b')} END AS s, b FROM (SELECT *, {heading_unit('b')} AS heading FROM compacted) WHERE b <> ''),
+      flat AS (SELECT doc_id, line_no, heading, generate_subscripts(s2, 1) AS k, unnest(s2) AS unit FROM (SELECT doc_id, line_no, heading, CASE WHEN len(s) = 0 THEN [b] ELSE s END AS s2 FROM parts)),
+      units AS (SELECT doc_id, unit, heading, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, k) AS i, {count('unit', P.WORD)} AS w FROM flat),
       fold AS (SELECT doc_id, i, w AS cur, 1 AS bin FROM units WHERE i = 1
         UNION ALL SELECT u.doc_id, u.i, CASE WHEN (f.cur >= 50 AND f.cur + u.w > 85) OR f.cur + u.w > 110 THEN u.w ELSE f.cur + u.w END, CASE WHEN (f.cur >= 50 AND f.cur + u.w > 85) OR f.cur + u.w > 110 THEN f.bin + 1 ELSE f.bin END
         FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.i = f.i + 1),
@@ -205,11 +204,15 @@ def sql(literals: list[str]) -> dict[str, str]:
       merging AS (SELECT t.doc_id, t.last FROM tail t JOIN raw a ON a.doc_id = t.doc_id AND a.bin = t.last JOIN raw b ON b.doc_id = t.doc_id AND b.bin = t.last - 1 WHERE a.words < 50 AND a.words + b.words <= 135),
       chunks AS (SELECT r.doc_id, CAST(CASE WHEN m.last = r.bin THEN r.bin - 1 ELSE r.bin END AS INTEGER) AS ord, CAST(sum(words) AS INTEGER) AS words, CAST(sum(n) AS INTEGER) AS n_units FROM raw r LEFT JOIN merging m ON m.doc_id = r.doc_id GROUP BY 1, 2),
       timed AS (SELECT *, CAST(greatest(1, round_even(words / 160.0 * 60.0, 0)) AS INTEGER) AS estimated_seconds FROM chunks)"""
+    # headings stand alone, and so does what a merged tail brings
+    chunk_texts = """heads AS (SELECT f.doc_id, f.bin, f.i, u.unit, u.heading OR coalesce(lag(u.heading) OVER w, true) AS apart, row_number() OVER w AS k FROM fold f JOIN units u USING (doc_id, i) WINDOW w AS (PARTITION BY f.doc_id, f.bin ORDER BY f.i)),
+      placed AS (SELECT h.doc_id, CAST(CASE WHEN m.last = h.bin THEN h.bin - 1 ELSE h.bin END AS INTEGER) AS ord, i, CASE WHEN k = 1 AND m.last IS DISTINCT FROM h.bin THEN '' WHEN apart THEN chr(10) || chr(10) ELSE ' ' END || unit AS piece FROM heads h LEFT JOIN merging m ON m.doc_id = h.doc_id),
+      texts AS (SELECT doc_id, ord, string_agg(piece, '' ORDER BY i) AS text FROM placed GROUP BY 1, 2)"""
     spaced = compact("text")
     return {
         "str_clean_text": f"SELECT doc_id, {clean_text('text')} AS text_clean FROM documents",
-        "str_norm_key": f"SELECT doc_id, {norm_key(first)} AS norm_key FROM documents",
-        "str_sentence_split": f"SELECT doc_id, CAST(len({sentences('text')}) AS INTEGER) AS n_sentences FROM documents",
+        "str_norm_key": f"SELECT doc_id, {norm_key('text')} AS norm_key FROM documents",
+        "str_sentence_split": f"SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, array_to_string(s, ' | ') AS sentences FROM (SELECT doc_id, {sentences('text')} AS s FROM documents)",
         "str_word_counts": "SELECT doc_id, " + ", ".join(f"CAST({count('text', p)} AS INTEGER) AS {n}" for n, p in (("n_words", P.WORD), ("n_tokens", P.TOKEN), ("n_meaningful", P.MEANINGFUL), ("n_letters", P.LETTER))) + " FROM documents",
         "str_preview": f"SELECT doc_id, {preview('text')} AS preview FROM documents",
         "flt_markers": f"WITH {every} SELECT doc_id, line_no, {layout_marker('line')} AS layout, {speech_marker('line')} AS speech, {cleaner_marker('line')} AS cleaner, {cleaner_marker('line')} AS narration, {cleaner_marker('line', True)} AS strict FROM lines",
@@ -218,13 +221,13 @@ def sql(literals: list[str]) -> dict[str, str]:
         "prj_front_matter": f"WITH {every} SELECT doc_id, line_no, concat_ws(',', " + ", ".join(f"CASE WHEN {has('lower(line)', p)} THEN {q(n)} END" for n, p in (("copyright", "copyright|isbn"), ("table_of_contents", "contents"), ("acknowledgements", "acknowledg"), ("preface", "preface"), ("foreword", "foreword"))) + ") AS labels FROM lines",
         "prj_identity_score": f"WITH {every} {identity_scores()}",
         "nar_render": f"WITH {blocks} SELECT d.doc_id, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY line_no) FILTER (WHERE block <> ''), '') AS narration FROM documents d LEFT JOIN said USING (doc_id) GROUP BY 1",
-        "chk_chunks": f"WITH RECURSIVE {fold} SELECT doc_id, ord, words, n_units, estimated_seconds FROM timed",
+        "chk_chunks": f"WITH RECURSIVE {fold}, {chunk_texts} SELECT doc_id, ord, words, n_units, estimated_seconds, text FROM timed JOIN texts USING (doc_id, ord)",
         "chk_manifest": f"WITH RECURSIVE {fold} SELECT doc_id, count(*) AS chunks, CAST(sum(words) AS BIGINT) AS words, CAST(sum(estimated_seconds) AS BIGINT) AS estimated_seconds, round_even(sum(estimated_seconds) / 60.0, 2) AS estimated_minutes FROM timed GROUP BY 1",
         "win_chapter_ranges": f"WITH {CHAPTERS} SELECT * FROM ranges",
         "jn_page_chapter": f"WITH {CHAPTERS} SELECT r.book, r.chapter, CAST(coalesce(sum({count('c.text', P.TOKEN)}), 0) AS BIGINT) AS word_count FROM ranges r LEFT JOIN conversations c ON c.conv_id = r.book AND c.turn + 1 BETWEEN r.start_page AND r.end_page GROUP BY 1, 2",
         "agg_skip_hist": f"WITH {every}, {kinds}, reasons AS (SELECT CASE WHEN doc_id < 0 THEN 'literal' ELSE 'document' END AS origin, {skip_reason('line', 'kind', True)} AS reason FROM kinds) SELECT origin, reason, count(*) AS n FROM reasons WHERE reason IS NOT NULL GROUP BY ROLLUP (origin, reason)",
         "agg_type_counts": f"WITH {every}, {kinds} SELECT kind AS type, count(*) AS n, count(*) FILTER (WHERE kind NOT IN ('empty', {', '.join(map(q, SKIP))})) AS narrated FROM kinds GROUP BY 1",
-        "win_dedupe_best": f"SELECT key, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_chars DESC, doc_id) AS n FROM (SELECT doc_id, n_chars, {norm_key(first)} AS key FROM documents)) WHERE n = 1",
+        "win_dedupe_best": f"WITH {every}, keyed AS (SELECT doc_id, line_no, CAST(length(line) AS INTEGER) AS n_chars, {norm_key('line')} AS key FROM lines) SELECT key, doc_id, line_no, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_chars DESC, doc_id, line_no) AS n FROM keyed) WHERE n = 1",
         "jn_fallback": "SELECT doc_id, coalesce('quality ' || CAST(quality AS VARCHAR), source) AS value FROM documents LEFT JOIN labels USING (doc_id)",
         "jn_resume_anti": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "jn_heading_suffix": f"WITH {docs}, heads AS (SELECT doc_id, line_no AS idx, line AS text FROM (SELECT *, {compact('line')} AS t FROM lines) WHERE {heading_unit('t')}), both_ AS (SELECT * FROM heads UNION ALL SELECT doc_id, idx + 1000000, regexp_replace(text, '\\A[^ ]+ ', '') FROM heads) SELECT * FROM both_ e WHERE length(text) > 6 AND EXISTS (SELECT 1 FROM both_ h WHERE h.doc_id = e.doc_id AND h.idx < e.idx AND ends_with(h.text, e.text) AND h.text <> e.text)",

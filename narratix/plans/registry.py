@@ -51,11 +51,11 @@ def str_clean_text(spark, d):
 
 
 def str_norm_key(spark, d):
-    return documents(spark, d).select("doc_id", T.norm_key(first_line(F.col("text"))).alias("norm_key"))
+    return documents(spark, d).select("doc_id", T.norm_key(F.col("text")).alias("norm_key"))
 
 
 def str_sentence_split(spark, d):
-    return documents(spark, d).select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
+    return documents(spark, d).select("doc_id", T.let(T.sentences(F.col("text")), lambda x: F.struct(F.size(x).alias("n_sentences"), F.array_join(x, " | ").alias("sentences"))).alias("s")).select("doc_id", "s.*")
 
 
 def str_word_counts(spark, d):
@@ -96,7 +96,7 @@ def nar_render(spark, d):
 
 
 def chk_chunks(spark, d):
-    return chunks.chunks(documents(spark, d), narration.blocks(F.col("text"))).drop("text")
+    return chunks.chunks(documents(spark, d), narration.blocks(F.col("text")))
 
 
 def chk_manifest(spark, d):
@@ -131,9 +131,10 @@ def agg_type_counts(spark, d):
 
 
 def win_dedupe_best(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", "n_chars", T.norm_key(first_line(F.col("text"))).alias("key"))
-    best = rows.groupBy("key").agg(F.max_by(F.struct("doc_id", "n_chars"), F.struct("n_chars", -F.col("doc_id"))).alias("x"))
-    return best.select("key", "x.doc_id", "x.n_chars")
+    """Of all lines with the same key the longest, ties to the first."""
+    rows = with_literals(spark, d).select("doc_id", "line_no", F.length("line").alias("n_chars"), T.norm_key(F.col("line")).alias("key"))
+    best = rows.groupBy("key").agg(F.max_by(F.struct("doc_id", "line_no", "n_chars"), F.struct("n_chars", -F.col("doc_id"), -F.col("line_no"))).alias("x"))
+    return best.select("key", "x.*")
 
 
 def jn_fallback(spark, d):
@@ -214,7 +215,7 @@ def win_paragraphs(spark, d):
     rows, n = narration.lines(documents(spark, d)), F.col("line_no") - 1
     y = (n % 60 + 1).cast("double") * 10
     rows = rows.select("doc_id", (n / 60).cast("int").alias("page"), F.col("line_no").alias("line"), F.col("line").alias("text"), F.lit(72.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 9).alias("y1"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
-    return layout.merged(layout.paragraphs(rows)).select("doc_id", "page", "paragraph", F.length("text").alias("n_chars"))
+    return layout.merged(layout.paragraphs(rows)).select("doc_id", "page", "paragraph", "text")
 
 
 QUERIES = {
