@@ -287,7 +287,7 @@ def _priors() -> str:
     t = "v"
     tidy = sub(t, r"\A[ |]+|[ |]+\z")
     plausible = rf"(length({tidy}) BETWEEN 2 AND 120 AND {count(tidy, oracle.P.LETTER)} >= 2 AND NOT {oracle.noise(tidy)} AND NOT {has(tidy, '(?i)' + oracle.P.B + '(?:chapter|contents|preface|acknowledg|references|bibliography|index)' + oracle.P.B)})"
-    return f"""WITH f AS (SELECT doc_id, lang, source, {compact('string_split(text, chr(10))[1]')} AS v FROM documents), c AS (
+    return f"""WITH lines AS ({DOC_LINES}), f AS (SELECT doc_id * 100000 + line_no AS doc_id, lang, {compact('line')} AS v FROM lines JOIN documents USING (doc_id)), c AS (
   SELECT doc_id, 'title' AS field, v AS value, 42 AS score FROM f WHERE v <> '' UNION ALL SELECT doc_id, 'subtitle', lang, 50 FROM f WHERE lang <> '' UNION ALL SELECT doc_id, 'author', 'Jane Doe', 62 FROM f WHERE doc_id % 2 = 0
   UNION ALL SELECT doc_id, 'title', v, 60 FROM f WHERE {plausible} UNION ALL SELECT doc_id, 'author', v, 75 FROM f WHERE {oracle.person(tidy)} AND v <> '')
   SELECT doc_id, field, value, score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, field, value) AS INTEGER) AS place FROM c"""
@@ -295,8 +295,9 @@ def _priors() -> str:
 
 @agrees(_priors())
 def idn_priors(spark, d):
-    first = T.compact(F.get(F.split("text", "\n"), F.lit(0)))
-    rows = read(spark, d, "documents").select("doc_id", "lang", first.alias("v"))
+    """Each line as the title of a book of its own."""
+    rows = narration.lines(read(spark, d, "documents").select("doc_id", "text")).join(read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    rows = rows.select((F.col("doc_id") * 100000 + F.col("line_no")).alias("doc_id"), "lang", T.compact(F.col("line")).alias("v"))
     artifacts = rows.select("doc_id", F.col("v").alias("title"), F.col("lang").alias("subtitle"), F.when(F.col("doc_id") % 2 == 0, "Jane Doe").otherwise("").alias("author"))
     found = identity.top(identity.priors(artifacts, rows.select("doc_id", F.col("v").alias("title"), F.col("v").alias("author"))))
     return found.select("doc_id", "field", "value", F.bround(F.col("confidence") * 100).cast("int").alias("score"), "place")

@@ -123,7 +123,7 @@ def sql(literals: list[str]) -> dict[str, str]:
     seg = nonempty(f"string_split({sub('n', rf'\n{P.SPACE}*\n', chr(1))}, chr(1))")
     at = lambda k: f"list_transform([{compact(f'coalesce(p[{k}], {q(chr(32))})')}], lambda t: {heading_line('t')})[1]"
     healed = twice("string_agg(t, chr(10) ORDER BY line_no)", r"([A-Za-z])-\n([a-z])", "$1$2")
-    islands = f"""lines AS ({o.DOC_LINES}), placed AS (SELECT doc_id, (line_no - 1) // 60 AS page, line_no, line AS t, 72::DOUBLE AS x0, 500::DOUBLE AS x1, ((line_no - 1) % 60 + 1) * 10::DOUBLE AS y0, ((line_no - 1) % 60 + 1) * 10::DOUBLE + 9 AS y1 FROM lines),
+    islands = f"""lines AS ({o.DOC_LINES}), placed AS (SELECT doc_id, (line_no - 1) // 60 AS page, line_no, line AS t, CASE WHEN line_no % 11 = 0 THEN 108 ELSE 72 END::DOUBLE AS x0, 500::DOUBLE AS x1, ((line_no - 1) % 60 + 1) * 10::DOUBLE AS y0, ((line_no - 1) % 60 + 1) * 10::DOUBLE + 9 AS y1 FROM lines),
       headed AS (SELECT *, ({heading}) OR y1 > 800 * 0.88::DOUBLE AS head, median(y1 - y0) OVER (PARTITION BY doc_id, page) AS m FROM placed),
       cuts AS (SELECT *, coalesce(CAST(y0 - lag(y1) OVER w > m * 1.45::DOUBLE OR head OR lag(head) OVER w OR (abs(x0 - lag(x0) OVER w) > 24 AND y0 - lag(y1) OVER w >= m * -0.2::DOUBLE) AS INTEGER), 0) AS cut FROM headed WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, line_no)),
       numbered AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_no) AS BIGINT) AS paragraph FROM cuts)"""

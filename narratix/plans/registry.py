@@ -196,7 +196,10 @@ def srt_topk(spark, d):
 
 
 def jn_similar(spark, d):
-    rows = narration.lines(documents(spark, d)).where(T.heading_unit(F.col("line"))).select("doc_id", F.col("line_no").alias("idx"), F.col("line").alias("text"))
+    """Headings of each document, and the literal lines as those of one more."""
+    own = F.col("doc_id") < 0
+    rows = with_literals(spark, d).where(own | T.heading_unit(F.col("line")))
+    rows = rows.select(F.when(own, -1).otherwise(F.col("doc_id")).alias("doc_id"), F.when(own, -F.col("doc_id")).otherwise(F.col("line_no").cast("long")).alias("idx"), F.col("line").alias("text"))
     return layout.similar_pairs(rows, ["doc_id"], 0.6).select("doc_id", "a_idx", "b_idx", "similarity")
 
 
@@ -211,10 +214,10 @@ def win_line_cluster(spark, d):
 
 
 def win_paragraphs(spark, d):
-    """Lines of each document on pages of sixty lines with a step of 10 points, then paragraphs."""
+    """Lines of each document on pages of sixty lines with a step of 10 points, each eleventh indented, then paragraphs."""
     rows, n = narration.lines(documents(spark, d)), F.col("line_no") - 1
     y = (n % 60 + 1).cast("double") * 10
-    rows = rows.select("doc_id", (n / 60).cast("int").alias("page"), F.col("line_no").alias("line"), F.col("line").alias("text"), F.lit(72.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 9).alias("y1"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    rows = rows.select("doc_id", (n / 60).cast("int").alias("page"), F.col("line_no").alias("line"), F.col("line").alias("text"), F.when(n % 11 == 10, 108.0).otherwise(72.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 9).alias("y1"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
     return layout.merged(layout.paragraphs(rows)).select("doc_id", "page", "paragraph", "text")
 
 

@@ -1,5 +1,9 @@
 """Every query against its SQL on the smallest tables; the others give rows."""
 
+from collections import Counter
+from difflib import SequenceMatcher
+from itertools import combinations
+
 import pytest
 from narratix.plans import extra, more, more_sql, registry
 
@@ -17,10 +21,36 @@ def test_query(spark, sf, duck, name):
     got = QUERIES[name](spark, sf).toPandas()
     if name in ORACLE_SQL:
         assert rows(got) == rows(duck.execute(ORACLE_SQL[name]).df())
-    elif name != "jn_similar":
+    else:
         assert len(got)
 
 
+def alike(a, b):
+    return SequenceMatcher(None, a.lower(), b.lower()).ratio()
+
+
+def test_similar_literals(spark, sf):
+    got = {(r["a_idx"], r["b_idx"]): round(r["similarity"], 9) for r in registry.jn_similar(spark, sf).where("doc_id = -1").collect()}
+    every = [(k + 1, x) for k, x in enumerate(registry.LITERALS)]
+    assert got == {(a, b): round(alike(x, y), 9) for (a, x), (b, y) in combinations(every, 2) if alike(x, y) > 0.6} and got
+
+
+def test_repeats_of_all_lines(spark, sf):
+    lines = [r for r in more.placed(spark, sf).collect() if r["line"]]
+    groups = {}
+    for r in lines:
+        groups.setdefault((r["doc_id"], r["line_no"] % 2), []).append((r["line_no"], r["line"]))
+    want = Counter()
+    for (_, odd), group in groups.items():
+        of = Counter(x for _, x in group)
+        pairs = {frozenset((x, y)) for (_, x), (_, y) in combinations(sorted(group), 2) if x != y and alike(x, y) > 0.82}
+        for x, n in of.items():
+            others = n - 1 + sum(of[y] for p in pairs if x in p for y in p - {x})
+            kind = "footer" if odd else "header"
+            want[kind if others >= 2 else f"{kind}_candidate"] += n
+    assert {r["type"]: r["n"] for r in more.jn_repeats(spark, sf).collect()} == dict(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
