@@ -166,7 +166,11 @@ def clean_for_speech(c: Column) -> Column:
 
 
 def _speech_line(raw: Column) -> Column:
-    t = strip(raw)
+    return let(strip(raw), _spoken)
+
+
+def _spoken(t: Column) -> Column:
+    """A stripped line without marks; empty if it is a separator or a label."""
     mark = sub(sub(t, rf"\A#{{1,6}}{P.SPACE}*"), rf"\A>{P.SPACE}*")
     mark = strip(sub(sub(mark, rf"\A[-*+•]{P.SPACE}+"), rf"\A[0-9]+[.)]{P.SPACE}+"))
     for p in (r"\*\*([^*]+)\*\*", "__([^_]+)__", r"\*([^*]+)\*", "_([^_]+)_"):
@@ -175,6 +179,8 @@ def _speech_line(raw: Column) -> Column:
     mark = sub(F.translate(mark, "*#", ""), rf"\A{P.SPACE}*[-–—]+{P.SPACE}*")
     mark = sub(sub(mark, rf"{P.SPACE}+[-–—]{{2,}}{P.SPACE}+", " "), "[-–—]{3,}", " ")
     mark = strip(sub(sub(strip(mark), rf"\A[:\-–—]+{P.SPACE}*"), rf"{P.SPACE}*[:\-–—]+\z"))
-    label = lambda m: F.when(compact(sub(F.lower(m), "[^a-z0-9 ]+")).isin(*P.HEADING_LABELS), "").otherwise(m)
+    # most lines hold no sign that a step looks for, and more letters than a label
+    mark = F.when(t.rlike(r"[*_`#>•+:\-–—]|\A[0-9]"), mark).otherwise(t)
+    label = lambda m: F.when(m.rlike(r"\A(?:[^A-Za-z0-9]*+[A-Za-z0-9]){17}"), m).when(compact(sub(F.lower(m), "[^a-z0-9 ]+")).isin(*P.HEADING_LABELS), "").otherwise(m)
     separator = t.rlike(r"\A[*#_=~\-.–—" + P.SPACE[1:-1] + r"]{3,}\z")
     return F.when((t == "") | separator, "").otherwise(let(mark, label))
