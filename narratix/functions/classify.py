@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,7 +61,9 @@ def front_matter(c: Column) -> Column:
 
 
 def noise(t: Column) -> Column:
-    return F.lower(t).rlike(P.NOISE) | t.rlike(P.NOISE_ONLY)
+    # plain words are looked up one by one, which a pattern of all of them does many times slower
+    signs = [w.replace("\\", "") for w in P.NOISE.split("|")]
+    return let(F.lower(t), lambda low: reduce(or_, (low.contains(w) for w in signs))) | t.rlike(P.NOISE_ONLY)
 
 
 def _tidy(c: Column) -> Column:
@@ -66,13 +71,17 @@ def _tidy(c: Column) -> Column:
 
 
 def person(c: Column) -> Column:
+    return _named(_tidy(c))
+
+
+def _named(tidy: Column) -> Column:
     def of(t):
         words = F.filter(F.transform(F.split(t, " "), lambda w: sub(w, "[^A-Za-zÀ-ÖØ-öø-ÿ'.-]")), lambda w: w != "")
         capital = lambda w: F.size(F.filter(w, lambda x: ~F.lower(x).isin(*P.PARTICLES) & x.rlike(r"\A\p{Lu}")))
         # long lines are no names, and are not taken apart
         return F.when((t == "") | (F.length(t) > 80), False).otherwise(let(words, lambda w: F.size(w).between(2, 5) & (capital(w) >= 2) & ~noise(t)))
 
-    return let(sub(_tidy(c), P.BY), of)
+    return let(sub(tidy, P.BY), of)
 
 
 def subtitle_like(c: Column) -> Column:
@@ -92,8 +101,8 @@ def plausible(c: Column) -> Column:
 
 def identity_features(t: Column) -> Column:
     """What the scores need of a text, each once: tokens, looks like a name, noise, title case, looks like a subtitle."""
-    named = person(t)
-    return F.struct(token_count(t).alias("n"), named.alias("person"), noise(t).alias("noise"), title_case(t).alias("title_case"), _tidy(t).rlike("[:—–]").alias("cut"))
+    own = (token_count(t).alias("n"), noise(t).alias("noise"), title_case(t).alias("title_case"))
+    return let(_tidy(t), lambda tidy: F.struct(*own, _named(tidy).alias("person"), tidy.rlike("[:—–]").alias("cut")))
 
 
 def identity_scores(t: Column, page: Column, font: Column | None = None, y: Column | None = None, centre: Column | None = None) -> Column:

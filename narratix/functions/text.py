@@ -98,7 +98,8 @@ def word_count(c: Column) -> Column:
 
 
 def token_count(c: Column) -> Column:
-    return count(c, P.TOKEN)
+    """Runs of other than white space: one more than the spaces between them, which are counted many times faster than matches."""
+    return let(compact(c), lambda t: F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1))
 
 
 def ends_sentence(c: Column) -> Column:
