@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import compact, strip, sub
+from .text import compact, half_even, strip, sub
 
 
 def _or(c: Column, other: str) -> Column:
@@ -41,7 +41,7 @@ def size_label(c: Column) -> Column:
     label = F.lit("0 B")
     for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
         least = 1024.0**k if k else 0.0
-        label = F.when((c >= least) & (c != 0), F.format_string(f"%.2f {unit}", F.bround(c / F.lit(1024.0**k), 2))).otherwise(label)
+        label = F.when((c >= least) & (c != 0), F.format_string(f"%.2f {unit}", half_even(c / F.lit(1024.0**k), 2))).otherwise(label)
     return label
 
 

@@ -69,10 +69,10 @@ def chunks(docs: DataFrame, blocks: Column, key: str = "doc_id", target: int = T
 def manifest(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks, words, seconds and minutes of each key."""
     out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.sum("words").alias("words"), F.sum("estimated_seconds").alias("estimated_seconds"))
-    return out.withColumn("estimated_minutes", F.bround(F.col("estimated_seconds") / F.lit(60.0), 2))
+    return out.withColumn("estimated_minutes", T.half_even(F.col("estimated_seconds") / F.lit(60.0), 2))
 
 
 def totals(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks, seconds and minutes of each key, and of all (a null key)."""
     out = rows.rollup(key).agg(F.count(F.lit(1)).alias("chunks"), F.sum("estimated_seconds").alias("seconds"))
-    return out.withColumn("minutes", F.bround(F.col("seconds") / F.lit(60.0), 2))
+    return out.withColumn("minutes", T.half_even(F.col("seconds") / F.lit(60.0), 2))

@@ -139,4 +139,4 @@ def with_text(pages: DataFrame, texts: DataFrame) -> DataFrame:
 def debug(rows: DataFrame) -> DataFrame:
     """Boxes rounded to two places, text trimmed, and its first 300 characters."""
     text = T.strip(F.coalesce("text", F.lit("")))
-    return rows.select(*PAGE, "idx", *(F.bround(c, 2).alias(c) for c in BOX), text.alias("text"), F.left(text, F.lit(300)).alias("preview"))
+    return rows.select(*PAGE, "idx", *(T.half_even(F.col(c), 2).alias(c) for c in BOX), text.alias("text"), F.left(text, F.lit(300)).alias("preview"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def concat_plan(wavs: DataFrame, gap: float = 0.5, key: str = "chapter") -> DataFrame:
     """Frames before each file when files are joined in order with a silent gap between; files of one key need one sample rate."""
@@ -19,7 +21,7 @@ def concat_plan(wavs: DataFrame, gap: float = 0.5, key: str = "chapter") -> Data
 
 def totals(plan: DataFrame, key: str = "chapter") -> DataFrame:
     out = plan.groupBy(key).agg(F.count(F.lit(1)).alias("files"), F.max(F.col("offset") + F.col("frames")).alias("frames"), F.max("sample_rate").alias("sample_rate"))
-    return out.withColumn("seconds", F.bround(F.col("frames") / F.col("sample_rate"), 2))
+    return out.withColumn("seconds", T.half_even(F.col("frames") / F.col("sample_rate"), 2))
 
 
 def to_render(chunks: DataFrame, wavs: DataFrame, keys: list[str], force: bool = False) -> DataFrame:
@@ -74,7 +76,7 @@ def audio_seconds(stages: DataFrame, reports: DataFrame, key: str = "run") -> Da
 def published(pairs: DataFrame, force: bool = False) -> DataFrame:
     """Whether a converted file is current, and how much smaller it is; pairs: source and output mtime and size, null where there is no file."""
     current = F.lit(not force) & F.coalesce(F.col("output_mtime") >= F.col("source_mtime"), F.lit(False))
-    ratio = F.bround(F.nullif("source_size", F.lit(0)) / F.nullif("output_size", F.lit(0)).cast("double"), 2)
+    ratio = T.half_even(F.nullif("source_size", F.lit(0)) / F.nullif("output_size", F.lit(0)).cast("double"), 2)
     return pairs.withColumn("status", F.when(current, "skipped_existing").otherwise("convert")).withColumn("compression_ratio", ratio)
 
 
@@ -90,4 +92,4 @@ def book_totals(reports: DataFrame, key: str = "run") -> DataFrame:
     """Chunks, rendered and reused ones and seconds of all chapters of a book; missing numbers count as none."""
     of = lambda c, n, zero=0: F.sum(F.coalesce(c, F.lit(zero))).alias(n)
     out = reports.groupBy(key).agg(F.count(F.lit(1)).alias("chapters"), of("chunks", "chunks_total"), of("rendered", "chunks_rendered"), of("skipped", "chunks_reused"), of("seconds", "seconds", 0.0))
-    return out.withColumn("audio_seconds", F.bround("seconds", 2)).drop("seconds")
+    return out.withColumn("audio_seconds", T.half_even(F.col("seconds"), 2)).drop("seconds")

@@ -88,7 +88,7 @@ def recover(words: DataFrame, elements: DataFrame, pages: DataFrame) -> DataFram
     lines = lines.where(~(whole & again)).where(most_similar("text", "known") <= 0.90)
     groups = ocr_groups(lines)
     groups = groups.join(table_rows(words), [*PAGE, "line"], "left")
-    extra = groups.groupBy(*PAGE, "paragraph").agg(F.count_if("is_row").alias("table_rows"), F.first("known").alias("known"), F.first("width").alias("width"), F.first("height").alias("height"), F.bround(F.avg("coverage"), 3).alias("avg_coverage"))
+    extra = groups.groupBy(*PAGE, "paragraph").agg(F.count_if("is_row").alias("table_rows"), F.first("known").alias("known"), F.first("width").alias("width"), F.first("height").alias("height"), T.half_even(F.avg("coverage"), 3).alias("avg_coverage"))
     found = merged(groups).withColumn("text", speech.ocr_normalize(F.col("text"))).join(extra, [*PAGE, "paragraph"])
     found = found.where((F.length("text") >= 24) & (meaning("text") >= 5)).where(most_similar("text", "known") <= 0.88)
     found = found.withColumn("type", classify.element_class(F.col("text"), *place, F.col("table_rows"))).where(~F.col("type").isin(*FURNITURE))

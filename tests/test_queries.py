@@ -51,6 +51,17 @@ def test_repeats_of_all_lines(spark, sf):
     assert {r["type"]: r["n"] for r in more.jn_repeats(spark, sf).collect()} == dict(want)
 
 
+@pytest.mark.parametrize("name", ["snk_published"])
+def test_decimal_ties(spark, name):
+    """Quotients whose shortest decimals end in 5 first occur among these events."""
+    import duckdb
+
+    at = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{at}/events.parquet')")
+    assert rows(QUERIES[name](spark, at).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
