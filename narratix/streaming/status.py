@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import half_even
+
 
 def events(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
@@ -37,8 +39,8 @@ def eta(rows: DataFrame) -> DataFrame:
     """
     good, some = F.col("total") > 0, (F.col("current") > 0) & (F.col("current") < F.col("total"))
     took = F.col("now") - F.col("began")
-    left = F.when(some, F.bround(took / F.col("current") * (F.col("total") - F.col("current")), 2)).when(F.col("current") >= F.col("total"), 0.0)
-    return rows.withColumn("percent", F.when(good, F.bround(F.col("current") * 100 / F.col("total"), 2))).withColumn("stage_elapsed_seconds", F.when(good, F.bround(took, 2))).withColumn("eta_seconds", F.when(good, left))
+    left = F.when(some, half_even(took / F.col("current") * (F.col("total") - F.col("current")), 2)).when(F.col("current") >= F.col("total"), 0.0)
+    return rows.withColumn("percent", F.when(good, half_even(F.col("current") * 100 / F.col("total"), 2))).withColumn("stage_elapsed_seconds", F.when(good, half_even(took, 2))).withColumn("eta_seconds", F.when(good, left))
 
 
 def stamped(rows: DataFrame) -> DataFrame:

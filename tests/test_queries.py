@@ -51,7 +51,7 @@ def test_repeats_of_all_lines(spark, sf):
     assert {r["type"]: r["n"] for r in more.jn_repeats(spark, sf).collect()} == dict(want)
 
 
-@pytest.mark.parametrize("name", ["snk_published"])
+@pytest.mark.parametrize("name", ["snk_published", "win_eta"])
 def test_decimal_ties(spark, name):
     """Quotients whose shortest decimals end in 5 first occur among these events."""
     import duckdb
