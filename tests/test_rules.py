@@ -214,6 +214,49 @@ def test_speech(spark):
     assert [one(spark, speech.viable_ocr_line, x) for x in ("ab cd", "abc def", "12345 abc")] == [False, True, False]
 
 
+def test_white_space_signs(spark):
+    """Every sign that the pattern takes for white space, and a text without any."""
+    import re
+
+    from narratix.functions import patterns as P
+
+    space = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\u" + m[1].zfill(4), P.SPACE))
+    assert {chr(k) for k in range(0x10000) if space.fullmatch(chr(k))} == {" ", *P.SPACES}
+    for x in P.SPACES:
+        assert one(spark, T.compact, f"{x}a{x} b{x}") == "a b" and one(spark, T.strip, f"{x}a{x}b {x}") == f"a{x}b"
+    assert [one(spark, f, x) for f in (T.compact, T.strip) for x in ("", " ", "ab")] == ["", "", "ab"] * 2
+
+
+def test_recovered_lines(spark, sf):
+    """Coverage from arrays as from the join, and likeness as the plain ratio has it."""
+    from difflib import SequenceMatcher
+    from itertools import product
+
+    from narratix.operators import recovery
+    from narratix.plans import more
+
+    words, boxes = more.words(spark, sf), more.boxes(spark, sf)
+    words = words.unionByName(words.where("ord % 9 = 0").withColumn("x0", F.col("x0") + 90))  # two rows of one word
+    want = recovery.covered(words, boxes).collect()
+    own = boxes.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "x0", "y0", "x1", "y1"))).alias("e"))
+    w = F.col("w")
+    rows = recovery.word_lines(words).join(own, ["doc_id", "page"]).select("doc_id", "page", "line", "e", F.transform(w, lambda x: x["ord"]).alias("o"), F.transform(w, lambda x: (x["x0"] + x["x1"]) / 2).alias("x"), F.transform(w, lambda x: (x["y0"] + x["y1"]) / 2).alias("y"))
+    got = rows.select("doc_id", "page", "line", recovery._hits("e", "o", "x", "y").alias("h")).select("doc_id", "page", "line", "h.*").collect()
+    paged = {(r["doc_id"], r["page"]) for r in own.collect()}
+    assert sorted(map(tuple, got)) == sorted(tuple(r) for r in want if (r["doc_id"], r["page"]) in paged) and any(r["coverage"] > 0 for r in got)
+    texts = ["", "a", "A quick brown fox jumps", "a quick brown fox jumped", "the quiet brown ox jumps", "ab" * 150, "ab" * 150 + "c", "jumps fox brown quick a", "İstanbul", "i̇stanbul"]
+    for a, b, t in product(texts, texts, (0.72, 0.88, 0.9)):
+        assert recovery.over(a, [b], t) == (SequenceMatcher(None, a.lower(), b.lower()).ratio() > t), (a, b, t)
+
+
+def test_unlike_lines_are_not_matched(monkeypatch):
+    """The slow matching is for pairs that a bound does not settle."""
+    from narratix.operators import recovery
+
+    monkeypatch.setattr(recovery, "SequenceMatcher", lambda *x: (_ for _ in ()).throw(AssertionError("matched")))
+    assert not recovery.over("the cat sat on the mat and slept", ["on tables cats are not to be seen", "a dog"], 0.9)
+
+
 def test_names(spark):
     from narratix.functions import names
 
