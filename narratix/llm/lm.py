@@ -3,9 +3,9 @@
 Words of every training document are counted, partially in each task and then by a shuffle on the word. The neural model
 predicts classes: the ``TOP`` most frequent tokens are classes of their own, all others fall into ``BUCKETS`` classes by their last
 bytes, and a word's share of its class is its smoothed count. Two preceding classes predict the next one by a sum of products
-of their vectors with a matrix for each place. The parameters are trained in numpy by noise-contrastive estimation on class trigrams drawn
-by a hash from the tokens of all training documents: all of them up to ``DRAWS`` tokens, which bounds what comes to the driver, and
-the rounds of training grow with them. Batched matrix products over the contexts met give normalised log-probabilities; a worker
+of their vectors with a matrix for each place. The parameters are trained in numpy by noise-contrastive estimation on class trigrams of
+all training documents: on the driver up to ``DRAWS`` tokens. Of a larger corpus a draw of so many by a hash gives the start alone; the counts of all
+its trigrams are then summed, and tasks train on every distinct one, weighted by its count, in ``PASSES`` shares between which their models are averaged. Batched matrix products over the contexts met give normalised log-probabilities; a worker
 keeps the normaliser of each context it has met (at most 1089 squared).
 
 Scoring looks up counts of the ``FREQUENT`` most frequent tokens (a broadcast of that many hashes and counts, bounded whatever
@@ -34,6 +34,8 @@ from .common import LOWER, SPACED, crc_mod, materialize, ranges, span_hashes, te
 TOP, BUCKETS, FREQUENT, DRAWS, ALPHA, END = 1024, 64, 1 << 20, 1 << 22, 0.1, ""
 CLASSES, START = TOP + BUCKETS, TOP + BUCKETS
 CHUNK = 1 << 22
+#: Passes over shares of all trigrams, and the most models that one pass gives.
+PASSES, TASKS = 4, 48
 
 
 def words_of(buf: np.ndarray, offsets: np.ndarray):
@@ -161,38 +163,104 @@ def _trigrams(shared, share: int):
     return run
 
 
-def train(code: np.ndarray, n: np.ndarray, dims: int = 24, noise: int = 12, rounds: int | None = None, batch: int = 1024, seed: int = 17) -> tuple[np.ndarray, ...]:
+def start(code: np.ndarray, n: np.ndarray, dims: int = 24, noise: int = 12, rounds: int | None = None, batch: int = 1024, seed: int = 17) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Noise-contrastive estimation on drawn trigrams; a round for each batch of them drawn, 500 at least and 5,000 at most."""
     rng = np.random.Generator(np.random.PCG64(seed))
     rounds = rounds or int(np.clip(n.sum() // batch, 500, 5000))
-    context, word = code // CLASSES, code % CLASSES
-    unigram = np.bincount(word, weights=n, minlength=CLASSES) + 0.5
+    unigram = np.bincount(code % CLASSES, weights=n, minlength=CLASSES) + 0.5
     unigram /= unigram.sum()
     r = rng.normal(0, 0.3, (CLASSES + 1, dims)) * (len(code) > 0)
-    c1, c2 = np.eye(dims) * 0.7, np.eye(dims) * 0.3
-    q, b = rng.normal(0, 0.3, (CLASSES, dims)), np.log(unigram)
-    log_noise = np.log(noise * unigram)
+    parts = [r, np.eye(dims) * 0.7, np.eye(dims) * 0.3, rng.normal(0, 0.3, (CLASSES, dims)), np.log(unigram)]
+    sums = [np.full(x.shape, 1e-6) for x in parts]
     upto, noise_upto = np.cumsum(n.astype(np.float64)), np.cumsum(unigram)
-    sums = [np.full(x.shape, 1e-6) for x in (r, c1, c2, q, b)]
     for k in range(rounds if len(code) else 0):
         at = np.minimum(np.searchsorted(upto, rng.random(batch) * upto[-1]), len(code) - 1)
-        two, one = context[at] // (CLASSES + 1), context[at] % (CLASSES + 1)
-        w = np.concatenate([word[at][:, None], np.minimum(np.searchsorted(noise_upto, rng.random((batch, noise))), CLASSES - 1)], 1)
-        pred, own = r[one] @ c1 + r[two] @ c2, q[w]
-        s = np.einsum("bd,bkd->bk", pred, own) + b[w] - log_noise[w]
-        d = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        d[:, 0] -= 1
-        d /= batch
-        dpred = np.einsum("bk,bkd->bd", d, own)
-        gb, gq = np.bincount(w.ravel(), weights=d.ravel(), minlength=CLASSES), gru.summed(w, d[:, :, None] * pred[:, None], CLASSES)
-        gr = gru.summed(np.concatenate([one, two]), np.concatenate([dpred @ c1.T, dpred @ c2.T]), CLASSES + 1)
-        rate = 0.1 * (1 - k / rounds) + 0.005
-        for x, g, acc in zip((r, c1, c2, q, b), (gr, r[one].T @ dpred, r[two].T @ dpred, gq, gb), sums, strict=True):
-            acc += g * g
-            x -= rate * g / np.sqrt(acc)
+        step(parts, sums, code[at], np.full(batch, 1 / batch), unigram, noise_upto, noise, 0.1 * (1 - k / rounds) + 0.005, rng)
+    return parts, sums
+
+
+def step(parts: list[np.ndarray], sums: list[np.ndarray], code: np.ndarray, weight: np.ndarray, unigram: np.ndarray, noise_upto: np.ndarray, noise: int, rate: float, rng) -> None:
+    """One step of noise-contrastive estimation in place, scaled by the sums of squared gradients; weight: of each trigram."""
+    r, c1, c2, q, b = parts
+    context, word = code // CLASSES, code % CLASSES
+    two, one = context // (CLASSES + 1), context % (CLASSES + 1)
+    w = np.concatenate([word[:, None], np.minimum(np.searchsorted(noise_upto, rng.random((len(code), noise))), CLASSES - 1)], 1)
+    pred, own = r[one] @ c1 + r[two] @ c2, q[w]
+    s = np.einsum("bd,bkd->bk", pred, own) + b[w] - np.log(noise * unigram)[w]
+    d = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+    d[:, 0] -= 1
+    d *= weight[:, None]
+    dpred = np.einsum("bk,bkd->bd", d, own)
+    gb, gq = np.bincount(w.ravel(), weights=d.ravel(), minlength=CLASSES), gru.summed(w, d[:, :, None] * pred[:, None], CLASSES)
+    gr = gru.summed(np.concatenate([one, two]), np.concatenate([dpred @ c1.T, dpred @ c2.T]), CLASSES + 1)
+    for x, g, acc in zip(parts, (gr, r[one].T @ dpred, r[two].T @ dpred, gq, gb), sums, strict=True):
+        acc += g * g
+        x -= rate * g / np.sqrt(acc)
+
+
+def vectors(parts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The model as scoring takes it."""
+    r, c1, c2, q, b = parts
     return tuple(x.astype(np.float32) for x in (r @ c1, r @ c2, q, b))
 
 
+def train(code: np.ndarray, n: np.ndarray, **options) -> tuple[np.ndarray, ...]:
+    """The model of all the trigrams given."""
+    return vectors(start(code, n, **options)[0])
+
+
+def _pass(shared, most: int, mean: float, rate: float, seed: int, noise: int = 12, batch: int = 1024):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, sums, unigram = shared.value
+        parts, sums, noise_upto = [x.copy() for x in parts], [x.copy() for x in sums], np.cumsum(unigram)
+        rng, seen, shown = np.random.Generator(np.random.PCG64([seed, TaskContext.get().partitionId() if TaskContext.get() else 0])), 0, 0
+        for rows in batches:
+            code, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
+            times = -(-n // most)  # a frequent trigram is shown several times, with its share of the count
+            code, weight = np.repeat(code, times), np.repeat(n / times, times)
+            order = rng.permutation(len(code))
+            for lo in range(0, len(order), batch):
+                at = order[lo : lo + batch]
+                step(parts, sums, code[at], weight[at] / (mean * batch), unigram, noise_upto, noise, rate, rng)
+            seen, shown = seen + int(n.sum()), shown + len(code)
+        if shown:
+            blob = np.concatenate([x.ravel() for x in (*parts, *sums)]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([seen], pa.int64()), pa.array([shown], pa.int64())], ["parts", "seen", "shown"])
+
+    return run
+
+
+def refine(trigrams: DataFrame, parts: list[np.ndarray], sums: list[np.ndarray], passes: int = PASSES) -> tuple[list[np.ndarray], int]:
+    """The model after every distinct trigram (code, n) of the corpus, weighted by its count, and the tokens seen.
+
+    Each pass takes the trigrams of one share by hash, in parallel from the same model, and the results are averaged by
+    what they were shown; at most TASKS models come to the driver at once.
+    """
+    spark = trigrams.sparkSession
+    facts = trigrams.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    most = max(1, -(-facts["n"] // facts["v"]))
+    unigram = np.full(CLASSES, 0.5)
+    for row in trigrams.groupBy((F.col("code") % CLASSES).alias("w")).agg(F.sum("n").alias("n")).collect():  # one row for each class
+        unigram[row["w"]] += row["n"]
+    unigram /= unigram.sum()
+    shown = trigrams.agg(F.sum(F.ceil(F.col("n") / most))).first()[0]
+    seen = 0
+    for k in range(passes):
+        shared = spark.sparkContext.broadcast((parts, sums, unigram))
+        own = trigrams.where(F.pmod(F.xxhash64("code"), F.lit(passes)) == k).coalesce(TASKS)
+        got = own.mapInArrow(_pass(shared, most, facts["n"] / shown, 0.05 * (1 - k / passes) + 0.005, k), "parts binary, seen long, shown long").toArrow().to_pylist()
+        seen += sum(g["seen"] for g in got)
+        all_ = sum(g["shown"] for g in got)
+        if not all_:
+            continue
+        flat = sum(np.frombuffer(g["parts"]) * (g["shown"] / all_) for g in got)
+        ends = np.cumsum([x.size for x in (*parts, *sums)])[:-1]
+        new = [x.reshape(y.shape) for x, y in zip(np.split(flat, ends), (*parts, *sums), strict=True)]
+        parts, sums = new[: len(parts)], new[len(parts) :]
+        shared.unpersist()
+    return parts, seen
+
+
 def _score(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Tables = shared.value
@@ -279,7 +347,13 @@ def score(docs: DataFrame, mod: int = 10, keep: tuple[str, ...] = ("doc_id",)) -
     tables = Tables(hashes[order], count[order].astype(np.int64), kind[order], ends["c"] if ends else 0, total, distinct, np.log10(sums[0, TOP:] + ALPHA * (sums[1, TOP:] + 1)))
     drawn = learn.mapInArrow(_trigrams(broadcast(tables), max(1, -(-total // DRAWS))), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     drawn = drawn.sort_by("code")
-    tables = replace(tables, model=train(drawn.column("code").to_numpy(), drawn.column("n").to_numpy()))
+    drawn = drawn.column("code").to_numpy(), drawn.column("n").to_numpy()
+    if total <= DRAWS:
+        model = train(*drawn)
+    else:  # the draw gives a start only
+        trigrams = learn.mapInArrow(_trigrams(broadcast(tables), 1), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        model = vectors(refine(materialize(trigrams, "lm-trigrams"), *start(*drawn))[0])
+    tables = replace(tables, model=model)
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"key long, {own}, n_tokens long, n_known long, log_c double, log_p double, rare array<struct<word:string,n:long>>"
     scored = materialize(docs.select(*keep, "text").mapInArrow(_score(broadcast(tables), list(keep)), schema), "lm-scored")

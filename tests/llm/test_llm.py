@@ -588,6 +588,17 @@ def test_language_model_is_normalised():
     assert np.allclose(even[0] @ even[2].T + even[3], even[3][0])
 
 
+def test_language_model_learns_from_all_tokens(spark, sf, monkeypatch):
+    """Where the corpus is larger than the draw, every token of it counts in the model, and the held-out score gains."""
+    docs, seen, held = spark.read.parquet(f"{sf}/documents.parquet"), [], []
+    real = lm.refine
+    monkeypatch.setattr(lm, "DRAWS", 4000)
+    for refine in (lambda *x: seen.append(real(*x)) or seen[-1], lambda rows, parts, sums: (parts, 0)):
+        monkeypatch.setattr(lm, "refine", refine)
+        held.append(lm.score(docs).agg(F.sum(F.when(F.col("held_out"), F.col("score"))).alias("s"), F.max("train_tokens").alias("n")).first())
+    assert seen[0][1] == held[0]["n"] > 10 * lm.DRAWS and held[0]["s"] > held[1]["s"]
+
+
 def test_language_model_scores_by_hand(spark):
     """The model's score of a text is the sum over its tokens of class probability and share of the class."""
     texts = [(k, f"the cat sat on a mat and the dog ran w{k % 7} end") for k in range(60)] + [(100, "the bird sat on unseen words")]
