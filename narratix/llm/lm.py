@@ -4,9 +4,9 @@ Words of every training document are counted, partially in each task and then by
 predicts classes: the ``TOP`` most frequent tokens are classes of their own, all others fall into ``BUCKETS`` classes by their last
 bytes, and a word's share of its class is its smoothed count. Two preceding classes predict the next one by a sum of products
 of their vectors with a matrix for each place. The parameters are trained in numpy by noise-contrastive estimation on class trigrams of
-all training documents: on the driver up to ``DRAWS`` tokens. Of a larger corpus a draw of so many by a hash gives the start alone; the counts of all
-its trigrams are then summed, and tasks train on every distinct one, weighted by its count, in ``PASSES`` shares between which their models are averaged. Batched matrix products over the contexts met give normalised log-probabilities; a worker
-keeps the normaliser of each context it has met (at most 1089 squared).
+all training documents, whose counts one pass over the texts sums: on the driver up to ``DRAWS`` tokens. Of a larger corpus a draw of so many from the counts, by a hash, gives the start
+alone; tasks then train on every distinct trigram, weighted by its count, in ``PASSES`` shares between which their models are averaged. The places of a context add up
+before the softmax, so one matrix product gives the normalisers of all contexts (1089 squared), and a token's log-probability is three numbers looked up.
 
 Scoring looks up counts of the ``FREQUENT`` most frequent tokens (a broadcast of that many hashes and counts, bounded whatever
 the corpus) by 64-bit hash; all other tokens of a document are joined with the counted words by the word itself.
@@ -36,6 +36,10 @@ CLASSES, START = TOP + BUCKETS, TOP + BUCKETS
 CHUNK = 1 << 22
 #: Passes over shares of all trigrams, and the most models that one pass gives.
 PASSES, TASKS = 4, 48
+#: Trigrams that a task holds before it sums them; their order among tasks and batches is that of the code times this odd number.
+HELD, MIX = 1 << 22, np.uint64(0x9E3779B97F4A7C15)
+#: Leading bits by which a frequent word's hash is found.
+LEAD = 20
 
 
 def words_of(buf: np.ndarray, offsets: np.ndarray):
@@ -96,12 +100,24 @@ class Tables:
     distinct: int
     bucket_log: np.ndarray  # log10 of each bucket's smoothed total
     model: tuple[np.ndarray, ...] = ()  # vectors of the last class and of the one before, of the predicted class, its bias
-    log_z: np.ndarray | None = None  # by context, once met in this process
+    log_z: np.ndarray | None = None  # by context; this and the following are made in the process that looks
+    products: tuple[np.ndarray, ...] = ()  # of the last class, its bias included, and of the one before with each predicted class
+    leads: np.ndarray | None = None  # the first of the hashes with these leading bits, or behind them
 
     def look(self, h: np.ndarray):
-        k = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-        hit = self.hashes[k] == h if len(self.hashes) else np.zeros(len(h), bool)
-        return np.where(hit, k, -1)
+        """The first place of each hash among the sorted ones, or -1: a few steps on from the first of its leading bits."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        if self.leads is None:
+            self.leads = np.searchsorted(self.hashes, np.arange(1 << LEAD, dtype=np.uint64) << np.uint64(64 - LEAD)).astype(np.int32)
+        most = len(self.hashes) - 1
+        k = np.minimum(self.leads[h >> np.uint64(64 - LEAD)], most)
+        short = np.flatnonzero(self.hashes[k] < h)
+        for _ in range(8):
+            k[short] = np.minimum(k[short] + 1, most)
+            short = short[self.hashes[k[short]] < h[short]]
+        k[short] = np.minimum(np.searchsorted(self.hashes, h[short]), most)
+        return np.where(self.hashes[k] == h, k, -1)
 
     def classes(self, buf, s, e, at, found) -> np.ndarray:
         """Classes of each row's words and its end, row after row."""
@@ -115,21 +131,15 @@ class Tables:
 
     def log_p(self, context: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """log10 of the model's probability of each class in its context."""
-        last, before, q, b = self.model
         if self.log_z is None:
-            self.log_z = np.full((CLASSES + 1) ** 2, np.nan, np.float32)
-        out = np.empty(len(context))
-        new = np.unique(context[np.isnan(self.log_z[context])])
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            z = (last[part % (CLASSES + 1)] + before[part // (CLASSES + 1)]) @ q.T + b
-            top = z.max(1)
-            z -= top[:, None]
-            self.log_z[part] = top + np.log(np.exp(z, out=z).sum(1))
-        for lo in range(0, len(context), 1 << 17):
-            part, k = context[lo : lo + (1 << 17)], kind[lo : lo + (1 << 17)]
-            pred = last[part % (CLASSES + 1)] + before[part // (CLASSES + 1)]
-            out[lo : lo + len(part)] = np.einsum("td,td->t", pred, q[k]) + b[k] - self.log_z[part]
+            last, before, q, b = (x.astype(np.float64) for x in self.model)
+            of_last, of_before = last @ q.T + b, before @ q.T
+            self.log_z = normalisers(of_last, of_before).astype(np.float32).ravel()
+            self.products = of_last.astype(np.float32).ravel(), of_before.astype(np.float32).ravel()
+        two, one = np.divmod(context, CLASSES + 1)
+        out = self.products[0][one * CLASSES + kind].astype(np.float64)
+        out += self.products[1][two * CLASSES + kind]
+        out -= self.log_z[context]
         return out / math.log(10)
 
     def contexts(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -144,25 +154,74 @@ class Tables:
         return two * (CLASSES + 1) + one
 
 
-def _trigrams(shared, share: int):
+def normalisers(of_last: np.ndarray, of_before: np.ndarray) -> np.ndarray:
+    """log of the sum over the classes of exp(of_before[two] + of_last[one]) for each (two, one)."""
+    top, top_before = of_last.max(1), of_before.max(1)
+    sums = np.exp(of_before - top_before[:, None]) @ np.exp(of_last - top[:, None]).T
+    with np.errstate(divide="ignore"):
+        out = np.log(sums) + top_before[:, None] + top
+    two, one = np.nonzero(sums < 1e-200)  # the classes likely after the one are beyond reach after the other: products may have vanished
+    for lo in range(0, len(two), 4096):
+        z = of_before[two[lo : lo + 4096]] + of_last[one[lo : lo + 4096]]
+        top = z.max(1)
+        out[two[lo : lo + 4096], one[lo : lo + 4096]] = top + np.log(np.exp(z - top[:, None]).sum(1))
+    return out
+
+
+def summed(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams and their counts, in the order of the mixed code: what lies together has nothing in common."""
+    with np.errstate(over="ignore"):
+        mixed = code.astype(np.uint64) * MIX
+    if n is None:
+        mixed, n = np.unique(mixed, return_counts=True)
+        with np.errstate(over="ignore"):
+            return (mixed * np.uint64(pow(int(MIX), -1, 1 << 64))).astype(np.int64), n.astype(np.int64)
+    order = np.argsort(mixed)
+    mixed = mixed[order]
+    first = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1]])) if len(mixed) else np.zeros(0, np.int64)
+    return code[order[first]], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
+
+
+def _batches(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(code), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(code[lo : lo + (1 << 18)]), pa.array(n[lo : lo + (1 << 18)])], ["code", "n"])
+
+
+def _trigrams(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Tables = shared.value
+        held, size = [np.zeros(0, np.int64)], 0
         for batch in batches:
             for _, buf, offsets in text_chunks(batch.column("text"), CHUNK):
                 buf, s, e, at, h = words_of(buf, offsets)
                 k = t.classes(buf, s, e, at, t.look(h))
-                code = t.contexts(k, at) * CLASSES + k
-                if share > 1:  # by the trigram and its place in the text
-                    first = at[:-1] + np.arange(len(at) - 1)
-                    place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
-                    mixed = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)
-                    code = code[(mixed >> np.uint64(20)) % np.uint64(share) == 0]
-                code, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+                held.append(t.contexts(k, at) * CLASSES + k)
+                size += len(k)
+                if size >= HELD:
+                    yield from _batches(*summed(np.concatenate(held)))
+                    held, size = held[:1], 0
+        yield from _batches(*summed(np.concatenate(held)))
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a trigram as one; only distinct trigrams are kept, whose number the classes bound."""
+    held, size, own = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, 0
+    for batch in batches:
+        held.append((batch.column("code").to_numpy(), batch.column("n").to_numpy()))
+        size += batch.num_rows
+        if size >= max(HELD // 4, own):
+            held, size = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))], 0
+            own = len(held[0][0])
+    yield from _batches(*summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+
+def drawn_from(trigrams: DataFrame, share: int) -> DataFrame:
+    """One in `share` of the tokens of each trigram, what is over by its hash: a draw that no order or dealing of the rows changes."""
+    return trigrams.select("code", F.expr(f"(n + pmod(xxhash64(code, 17), {share}L)) div {share}L").alias("n")).where("n > 0")
+
+
 def start(code: np.ndarray, n: np.ndarray, dims: int = 24, noise: int = 12, rounds: int | None = None, batch: int = 1024, seed: int = 17) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Noise-contrastive estimation on drawn trigrams; a round for each batch of them drawn, 500 at least and 5,000 at most."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -345,14 +404,13 @@ def score(docs: DataFrame, mod: int = 10, keep: tuple[str, ...] = ("doc_id",)) -
     np.add.at(sums[0], k, -count[top])
     np.add.at(sums[1], k, -1)
     tables = Tables(hashes[order], count[order].astype(np.int64), kind[order], ends["c"] if ends else 0, total, distinct, np.log10(sums[0, TOP:] + ALPHA * (sums[1, TOP:] + 1)))
-    drawn = learn.mapInArrow(_trigrams(broadcast(tables), max(1, -(-total // DRAWS))), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    drawn = drawn.sort_by("code")
+    trigrams = learn.mapInArrow(_trigrams(broadcast(tables)), "code long, n long").repartition("code").mapInArrow(_merged, "code long, n long")
+    share = max(1, -(-total // DRAWS))
+    if share > 1:  # the draw gives a start only
+        trigrams = materialize(trigrams, "lm-trigrams")
+    drawn = (drawn_from(trigrams, share) if share > 1 else trigrams).toArrow().sort_by("code")
     drawn = drawn.column("code").to_numpy(), drawn.column("n").to_numpy()
-    if total <= DRAWS:
-        model = train(*drawn)
-    else:  # the draw gives a start only
-        trigrams = learn.mapInArrow(_trigrams(broadcast(tables), 1), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        model = vectors(refine(materialize(trigrams, "lm-trigrams"), *start(*drawn))[0])
+    model = vectors(refine(trigrams, *start(*drawn))[0]) if share > 1 else train(*drawn)
     tables = replace(tables, model=model)
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"key long, {own}, n_tokens long, n_known long, log_c double, log_p double, rare array<struct<word:string,n:long>>"

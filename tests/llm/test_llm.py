@@ -599,6 +599,40 @@ def test_language_model_learns_from_all_tokens(spark, sf, monkeypatch):
     assert seen[0][1] == held[0]["n"] > 10 * lm.DRAWS and held[0]["s"] > held[1]["s"]
 
 
+def test_language_model_counts_trigrams_in_one_pass(spark, sf, monkeypatch):
+    """Where the corpus is larger than the draw too; the draw is one in so many tokens of each trigram, in whatever order the rows are."""
+    real, begin, calls, drawn = lm._trigrams, lm.start, [], []
+    monkeypatch.setattr(lm, "DRAWS", 4000)
+    monkeypatch.setattr(lm, "_trigrams", lambda *x: calls.append(x) or real(*x))
+    monkeypatch.setattr(lm, "start", lambda code, n: drawn.append(int(n.sum())) or begin(code, n, rounds=5))
+    monkeypatch.setattr(lm, "refine", lambda rows, parts, sums: (parts, rows.agg(F.sum("n")).first()[0]))
+    n = lm.score(spark.read.parquet(f"{sf}/documents.parquet")).first()["train_tokens"]
+    assert len(calls) == 1 and n > 40_000 and abs(drawn[0] - n / -(-n // 4000)) < 400
+    rows = spark.createDataFrame([(k * 977, k % 50 + 1) for k in range(2000)], "code long, n long")
+    got = {r["code"]: r["n"] for r in lm.drawn_from(rows, 7).collect()}
+    assert got == {r["code"]: r["n"] for r in lm.drawn_from(rows.repartition(5).orderBy(F.desc("code")), 7).collect()}
+    assert all(0 <= got.get(k * 977, 0) - (k % 50 + 1) // 7 <= 1 for k in range(2000)) and abs(sum(got.values()) / (51_000 / 7) - 1) < 0.02
+    assert sorted(map(tuple, lm.drawn_from(rows, 1).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_language_model_lookups(monkeypatch):
+    """Hashes, sums of trigrams and normalisers against plain ones."""
+    rng = np.random.default_rng(3)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 64, 3000, dtype=np.uint64), np.arange(5, 105, dtype=np.uint64), np.array([2**64 - 1], np.uint64)]))
+    t, place = lm.Tables(hashes, hashes, hashes, 0, 0, 0, np.zeros(0)), {int(h): k for k, h in enumerate(hashes)}
+    asked = np.concatenate([hashes, hashes + np.uint64(1), np.arange(300, dtype=np.uint64)])
+    assert t.look(asked).tolist() == [place.get(int(h), -1) for h in asked]
+    monkeypatch.setattr(lm, "HELD", 400)
+    codes = rng.integers(0, 900, (12, 150)) * 1_000_003
+    batches = [b for x in codes for b in lm._batches(*lm.summed(x))]
+    got = [(c, n) for b in lm._merged(iter(batches)) for c, n in zip(b.column("code").to_pylist(), b.column("n").to_pylist(), strict=True)]
+    assert sorted(got) == sorted(Counter(codes.ravel().tolist()).items()) and not [b for b in lm._merged(iter([])) if b.num_rows]
+    x, y = rng.normal(0, 3, (40, 30)), rng.normal(0, 3, (50, 30))
+    x[7], y[9] = np.arange(30) * 60.0, np.arange(30) * -61.0  # no class is likely after both: the products vanish
+    z = x[None] + y[:, None]
+    assert np.allclose(lm.normalisers(x, y), z.max(2) + np.log(np.exp(z - z.max(2)[..., None]).sum(2)), atol=1e-9)
+
+
 def test_language_model_scores_by_hand(spark):
     """The model's score of a text is the sum over its tokens of class probability and share of the class."""
     texts = [(k, f"the cat sat on a mat and the dog ran w{k % 7} end") for k in range(60)] + [(100, "the bird sat on unseen words")]
