@@ -88,6 +88,18 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(n)], ["h", "k", "c"])
 
 
+def placed(values: np.ndarray, near: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """np.searchsorted(values, x), the last place at most; near: a place for each, not behind that."""
+    most = len(values) - 1
+    k = np.minimum(near, most)
+    short = np.flatnonzero(values[k] < x)
+    for _ in range(8):
+        k[short] = np.minimum(k[short] + 1, most)
+        short = short[values[k[short]] < x[short]]
+    k[short] = np.minimum(np.searchsorted(values, x[short]), most)
+    return k
+
+
 @dataclass
 class Tables:
     """What scoring looks up; size is bounded by TOP, BUCKETS and FREQUENT."""
@@ -110,13 +122,7 @@ class Tables:
             return np.full(len(h), -1)
         if self.leads is None:
             self.leads = np.searchsorted(self.hashes, np.arange(1 << LEAD, dtype=np.uint64) << np.uint64(64 - LEAD)).astype(np.int32)
-        most = len(self.hashes) - 1
-        k = np.minimum(self.leads[h >> np.uint64(64 - LEAD)], most)
-        short = np.flatnonzero(self.hashes[k] < h)
-        for _ in range(8):
-            k[short] = np.minimum(k[short] + 1, most)
-            short = short[self.hashes[k[short]] < h[short]]
-        k[short] = np.minimum(np.searchsorted(self.hashes, h[short]), most)
+        k = placed(self.hashes, self.leads[h >> np.uint64(64 - LEAD)], h)
         return np.where(self.hashes[k] == h, k, -1)
 
     def classes(self, buf, s, e, at, found) -> np.ndarray:
@@ -231,26 +237,35 @@ def start(code: np.ndarray, n: np.ndarray, dims: int = 24, noise: int = 12, roun
     r = rng.normal(0, 0.3, (CLASSES + 1, dims)) * (len(code) > 0)
     parts = [r, np.eye(dims) * 0.7, np.eye(dims) * 0.3, rng.normal(0, 0.3, (CLASSES, dims)), np.log(unigram)]
     sums = [np.full(x.shape, 1e-6) for x in parts]
-    upto, noise_upto = np.cumsum(n.astype(np.float64)), np.cumsum(unigram)
+    upto, draw = np.cumsum(n.astype(np.float64)), noise_of(unigram)
     for k in range(rounds if len(code) else 0):
         at = np.minimum(np.searchsorted(upto, rng.random(batch) * upto[-1]), len(code) - 1)
-        step(parts, sums, code[at], np.full(batch, 1 / batch), unigram, noise_upto, noise, 0.1 * (1 - k / rounds) + 0.005, rng)
+        step(parts, sums, code[at], np.full(batch, 1 / batch), unigram, draw, noise, 0.1 * (1 - k / rounds) + 0.005, rng)
     return parts, sums
 
 
-def step(parts: list[np.ndarray], sums: list[np.ndarray], code: np.ndarray, weight: np.ndarray, unigram: np.ndarray, noise_upto: np.ndarray, noise: int, rate: float, rng) -> None:
-    """One step of noise-contrastive estimation in place, scaled by the sums of squared gradients; weight: of each trigram."""
+def noise_of(unigram: np.ndarray):
+    """A function from uniform numbers to classes with these shares."""
+    upto, parts = np.cumsum(unigram), 1 << 16
+    near = np.searchsorted(upto, np.arange(parts) / parts)
+    return lambda x: placed(upto, near[(x.ravel() * parts).astype(np.int64)], x.ravel()).reshape(x.shape)
+
+
+def step(parts: list[np.ndarray], sums: list[np.ndarray], code: np.ndarray, weight: np.ndarray, unigram: np.ndarray, draw, noise: int, rate: float, rng) -> None:
+    """One step of noise-contrastive estimation in place, scaled by the sums of squared gradients; weight: of each trigram; draw: see noise_of."""
     r, c1, c2, q, b = parts
     context, word = code // CLASSES, code % CLASSES
     two, one = context // (CLASSES + 1), context % (CLASSES + 1)
-    w = np.concatenate([word[:, None], np.minimum(np.searchsorted(noise_upto, rng.random((len(code), noise))), CLASSES - 1)], 1)
-    pred, own = r[one] @ c1 + r[two] @ c2, q[w]
-    s = np.einsum("bd,bkd->bk", pred, own) + b[w] - np.log(noise * unigram)[w]
+    w = np.concatenate([word[:, None], draw(rng.random((len(code), noise)))], 1)
+    pred, own = r[one] @ c1 + r[two] @ c2, q.take(w, axis=0)
+    s = np.einsum("bd,bkd->bk", pred, own) + (b - np.log(noise * unigram))[w]
     d = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
     d[:, 0] -= 1
     d *= weight[:, None]
     dpred = np.einsum("bk,bkd->bd", d, own)
-    gb, gq = np.bincount(w.ravel(), weights=d.ravel(), minlength=CLASSES), gru.summed(w, d[:, :, None] * pred[:, None], CLASSES)
+    flat, by, row = w.ravel(), d.ravel(), np.repeat(np.arange(len(code)), noise + 1)
+    gb = np.bincount(flat, weights=by, minlength=CLASSES)
+    gq = np.stack([np.bincount(flat, weights=x[row] * by, minlength=CLASSES) for x in pred.T.copy()], 1)  # no row of a vector for each pair
     gr = gru.summed(np.concatenate([one, two]), np.concatenate([dpred @ c1.T, dpred @ c2.T]), CLASSES + 1)
     for x, g, acc in zip(parts, (gr, r[one].T @ dpred, r[two].T @ dpred, gq, gb), sums, strict=True):
         acc += g * g
@@ -271,7 +286,7 @@ def train(code: np.ndarray, n: np.ndarray, **options) -> tuple[np.ndarray, ...]:
 def _pass(shared, most: int, mean: float, rate: float, seed: int, noise: int = 12, batch: int = 1024):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, sums, unigram = shared.value
-        parts, sums, noise_upto = [x.copy() for x in parts], [x.copy() for x in sums], np.cumsum(unigram)
+        parts, sums, draw = [x.copy() for x in parts], [x.copy() for x in sums], noise_of(unigram)
         rng, seen, shown = np.random.Generator(np.random.PCG64([seed, TaskContext.get().partitionId() if TaskContext.get() else 0])), 0, 0
         for rows in batches:
             code, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
@@ -280,7 +295,7 @@ def _pass(shared, most: int, mean: float, rate: float, seed: int, noise: int = 1
             order = rng.permutation(len(code))
             for lo in range(0, len(order), batch):
                 at = order[lo : lo + batch]
-                step(parts, sums, code[at], weight[at] / (mean * batch), unigram, noise_upto, noise, rate, rng)
+                step(parts, sums, code[at], weight[at] / (mean * batch), unigram, draw, noise, rate, rng)
             seen, shown = seen + int(n.sum()), shown + len(code)
         if shown:
             blob = np.concatenate([x.ravel() for x in (*parts, *sums)]).tobytes()

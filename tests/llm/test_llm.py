@@ -616,12 +616,15 @@ def test_language_model_counts_trigrams_in_one_pass(spark, sf, monkeypatch):
 
 
 def test_language_model_lookups(monkeypatch):
-    """Hashes, sums of trigrams and normalisers against plain ones."""
+    """Hashes, noise, sums of trigrams and normalisers against plain ones."""
     rng = np.random.default_rng(3)
     hashes = np.unique(np.concatenate([rng.integers(0, 1 << 64, 3000, dtype=np.uint64), np.arange(5, 105, dtype=np.uint64), np.array([2**64 - 1], np.uint64)]))
     t, place = lm.Tables(hashes, hashes, hashes, 0, 0, 0, np.zeros(0)), {int(h): k for k, h in enumerate(hashes)}
     asked = np.concatenate([hashes, hashes + np.uint64(1), np.arange(300, dtype=np.uint64)])
     assert t.look(asked).tolist() == [place.get(int(h), -1) for h in asked]
+    shares = np.append(rng.random(30) ** 9, np.full(lm.CLASSES - 30, 1e-7))  # many classes between two of the places that a draw starts from
+    shares, x = shares / shares.sum(), np.append(rng.random((9, 400)), [np.linspace(0, 1 - 1e-16, 400)], 0)
+    assert (lm.noise_of(shares)(x) == np.minimum(np.searchsorted(np.cumsum(shares), x), lm.CLASSES - 1)).all()
     monkeypatch.setattr(lm, "HELD", 400)
     codes = rng.integers(0, 900, (12, 150)) * 1_000_003
     batches = [b for x in codes for b in lm._batches(*lm.summed(x))]
